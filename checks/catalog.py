@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 import checks.features  # noqa: F401
+import checks.tables  # noqa: F401
