@@ -97,75 +97,40 @@ def percentile_rank(df: DataFrame, by: Sequence[str], value: str, alias: str, ce
     return _match(df, ranks, [*by, value])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probabilities: Sequence[float],
-    weight: str | None = None,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles as an array column ``quantiles``.
-
-    Only the cells that hold a wanted rank are ordered.  ``weight`` is an
-    optional integer multiplicity.  Nulls are ignored; slices without any
-    value do not appear.
-    """
-    by = list(by)
-    multiplicity = F.lit(1) if weight is None else F.col(weight)
-    rows = df.where(F.col(value).isNotNull()).select(
-        *by,
-        F.col(value).cast("double").alias("v"),
-        multiplicity.cast("long").alias("w"),
-        value_cell(F.col(value).cast("double")).alias("cell"),
-    )
-    cells = rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw"))
+def _target_cells(spans: DataFrame, by: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Cells that hold a wanted rank, with the ranks counted from the cell start."""
     slice_window = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = slice_window.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     whole = slice_window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    spans = cells.where("cw > 0").select(
+    spans = spans.where("cw > 0").select(
         *by,
         "cell",
         "cw",
         F.coalesce(F.sum("cw").over(before), F.lit(0)).alias("start"),
         F.sum("cw").over(whole).alias("n"),
     )
+    position = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
     wanted = F.array(
         *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(p)) * (F.col("n") - 1)).alias("position"),
-            )
-            for i, p in enumerate(probabilities)
+            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), x.alias("position"), rank(x).alias("r"))
+            for i, x in enumerate(position)
+            for side, rank in ((0, F.floor), (1, F.ceil))
         ]
     )
-    targets = (
-        spans.withColumn("t", F.explode(wanted))
-        .select(*by, "cell", "start", "cw", "n", "t.i", "t.position")
-        .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn(
-            "r",
-            F.when(F.col("side") == 0, F.floor("position")).otherwise(F.ceil("position")),
-        )
-        .where((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("cw")))
-        .groupBy(*by, "cell")
-        .agg(
-            F.first("n").alias("n"),
-            F.collect_list(
-                F.struct("i", "side", "position", (F.col("r") - F.col("start")).alias("local"))
-            ).alias("ts"),
-        )
-    )
-    counted = (
-        _match(rows, targets, [*by, "cell"])
-        .groupBy(*by, "cell", "v")
-        .agg(F.sum("w").alias("w"), F.first("ts").alias("ts"))
-        .where("w > 0")
+    inside = F.filter(
+        wanted,
+        lambda t: (t.r >= F.col("start")) & (t.r < F.col("start") + F.col("cw")),
     )
+    return spans.withColumn("ts", inside).where(F.size("ts") > 0).select(*by, "cell", "start", "ts")
+
+
+def _pick_ranks(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Quantile arrays from counted values of the target cells."""
     inside = W.partitionBy(*by, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     picked = (
-        counted.withColumn("upto", F.sum("w").over(inside))
+        counted.withColumn("upto", F.col("start") + F.sum("w").over(inside))
         .withColumn("t", F.explode("ts"))
-        .where((F.col("t.local") < F.col("upto")) & (F.col("t.local") >= F.col("upto") - F.col("w")))
+        .where((F.col("t.r") < F.col("upto")) & (F.col("t.r") >= F.col("upto") - F.col("w")))
         .groupBy(*by, "t.i")
         .agg(
             F.max(F.when(F.col("t.side") == 0, F.col("v"))).alias("low"),
@@ -179,6 +144,86 @@ def exact_quantiles(
     )
 
 
+def _celled(df: DataFrame, keep: list[str], value: str, weight: str | None = None) -> DataFrame:
+    multiplicity = F.lit(1) if weight is None else F.col(weight)
+    v = F.col(value).cast("double")
+    return df.where(F.col(value).isNotNull()).select(
+        *keep, v.alias("v"), multiplicity.cast("long").alias("w"), value_cell(v).alias("cell")
+    )
+
+
+def exact_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probabilities: Sequence[float],
+    weight: str | None = None,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles as an array column ``quantiles``.
+
+    Only the cells that hold a wanted rank are ordered.  ``weight`` is an
+    optional integer multiplicity.  Nulls are ignored; slices without any
+    value do not appear.
+    """
+    by = list(by)
+    rows = _celled(df, by, value, weight)
+    targets = _target_cells(rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw")), by, probabilities)
+    counted = (
+        _match(rows, targets, [*by, "cell"])
+        .groupBy(*by, "cell", "v")
+        .agg(F.sum("w").alias("w"), F.first("ts").alias("ts"), F.first("start").alias("start"))
+        .where("w > 0")
+    )
+    return _pick_ranks(counted, by)
+
+
+def complement_quantiles(
+    everything: DataFrame,
+    left_out: DataFrame,
+    by: Sequence[str],
+    group: str,
+    value: str,
+    probabilities: Sequence[float],
+) -> DataFrame:
+    """Exact quantiles of "all rows of ``by`` except those left out of ``group``".
+
+    ``left_out`` names, per group, the rows that do not count.  Cell totals are
+    subtracted, so the full table is never repeated per group: only values in
+    the few cells around the wanted ranks are compared group by group.
+    """
+    by = list(by)
+    rows = _celled(everything, by, value)
+    out = _celled(left_out, [*by, group], value)
+    groups = left_out.select(*by, group).distinct()
+    all_cells = rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw"))
+    spans = (
+        all_cells.join(groups, by)
+        .select(*by, group, "cell", "cw")
+        .unionByName(out.groupBy(*by, group, "cell").agg((-F.sum("w")).alias("cw")))
+        .groupBy(*by, group, "cell")
+        .agg(F.sum("cw").alias("cw"))
+    )
+    targets = _target_cells(spans, [*by, group], probabilities)
+    counted_all = _match(
+        rows, targets.select(*by, "cell").distinct(), [*by, "cell"], "left_semi"
+    ).groupBy(*by, "cell", "v").agg(F.sum("w").alias("w"))
+    plus = counted_all.join(targets.select(*by, "cell", group), [*by, "cell"])
+    minus = (
+        _match(out, targets.select(*by, group, "cell"), [*by, group, "cell"], "left_semi")
+        .groupBy(*by, group, "cell", "v")
+        .agg((-F.sum("w")).alias("w"))
+    )
+    columns = [*by, group, "cell", "v", "w"]
+    counted = (
+        plus.select(*columns)
+        .unionByName(minus.select(*columns))
+        .groupBy(*by, group, "cell", "v")
+        .agg(F.sum("w").alias("w"))
+        .where("w > 0")
+    )
+    return _pick_ranks(_match(counted, targets, [*by, group, "cell"]), [*by, group])
+
+
 def top_k(
     df: DataFrame,
     by: Sequence[str],
@@ -227,13 +272,13 @@ def top_k(
     )
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Add ``idx`` (0-based) and ``n`` per slice, in md5-bucket then key order.
 
     Keys must be unique per slice, so the 4,096 hash buckets are even.
     """
     by = list(by)
-    base = df.withColumn("bucket", hash_bucket(*[F.col(c) for c in keys]))
+    base = df.withColumn("bucket", hash_bucket(F.lit(seed), *[F.col(c) for c in keys]))
     counts = base.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"))
     slice_window = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = slice_window.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
