@@ -15,6 +15,7 @@ from tidemark.operators.modeling import assemble, included
 from tidemark.operators.outcomes import future_inactivity
 from tidemark.operators.rolling import rolling_features
 from tidemark.schema import MODEL_FEATURES, TARGET
+from tidemark.session import scratch_folder
 from tidemark.sources.activity import as_activity_log
 
 OBS = (10, 13, 16, 19)
@@ -161,6 +162,28 @@ def predictions(spark, sf_dir):
     return rows
 
 
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _saved(spark, sf_dir, name, build):
+    """A table written once per application and read by later stages."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SAVED:
+        path = scratch_folder(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key])
+
+
+def saved_predictions(spark, sf_dir):
+    """Audits start from saved predictions, as they would in production."""
+    return _saved(spark, sf_dir, "predictions", predictions)
+
+
+def saved_daily(spark, sf_dir):
+    return _saved(spark, sf_dir, "daily", daily)
+
+
 ATTRIBUTES = ["segment", "region", "age_band", "attempts", "credits"]
 PAIRS = [("segment", "age_band"), ("segment", "region"), ("age_band", "region"), ("attempts", "age_band")]
 

@@ -3,3 +3,4 @@
 import checks.features  # noqa: F401
 import checks.tables  # noqa: F401
 import checks.metrics  # noqa: F401
+import checks.trajectories  # noqa: F401

@@ -348,7 +348,7 @@ _SH_SEL = "SELECT observation_day, outer_holdout_id, feature, " + ", ".join(rd(c
 def _shift_rows(spark, sf):
     """Predictions with a third of the entities absent from each course."""
     code = F.length("outer_holdout_id") + F.ascii(F.substring("outer_holdout_id", 2, 1)) + F.ascii(F.substring("outer_holdout_id", 5, 1))
-    return A.predictions(spark, sf).where((F.col("entity") + code) % 3 != 0)
+    return A.saved_predictions(spark, sf).where((F.col("entity") + code) % 3 != 0)
 
 
 @query("d24_dataset_shift_strict", PRED + _shift_sql(True) + _SH_SEL)
