@@ -4,3 +4,5 @@ import checks.features  # noqa: F401
 import checks.tables  # noqa: F401
 import checks.metrics  # noqa: F401
 import checks.trajectories  # noqa: F401
+import checks.audit  # noqa: F401
+import checks.review  # noqa: F401

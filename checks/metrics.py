@@ -91,17 +91,17 @@ PRED = "WITH " + A.PREDICTIONS + ", "
       {rd(zero_div('2 * tp', '2 * tp + fp + fn'), 'f1')}, tp + fp AS predicted_positive_rows FROM conf""",
 )
 def confusion_metrics(spark, sf):
-    return tidy(X.zero_rates(X.confusion(A.predictions(spark, sf), DAY, LABEL, "fixed_prediction")))
+    return tidy(X.zero_rates(X.confusion(A.saved_predictions(spark, sf), DAY, LABEL, "fixed_prediction")))
 
 
 @query("d12_d20_safe_metrics_by_day", PRED + safe_sql(DAY) + rep_select(DAY))
 def safe_by_day(spark, sf):
-    return tidy(X.classification_report(A.predictions(spark, sf), DAY, SCORE, LABEL))
+    return tidy(X.classification_report(A.saved_predictions(spark, sf), DAY, SCORE, LABEL))
 
 
 @query("d12_safe_metrics_by_holdout", PRED + safe_sql(SLICE) + rep_select(SLICE))
 def safe_by_holdout(spark, sf):
-    return tidy(X.classification_report(A.predictions(spark, sf), SLICE, SCORE, LABEL))
+    return tidy(X.classification_report(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL))
 
 
 @query(
@@ -113,7 +113,7 @@ def safe_by_holdout(spark, sf):
       {rd(safe_div('2 * tp', '2 * tp + fp + fn'), 'f1')}, {rd('(' + safe_div('tp', 'tp + fn') + ' + ' + safe_div('tn', 'tn + fp') + ') / 2', 'balanced_accuracy')} FROM conf""",
 )
 def nullable_metrics(spark, sf):
-    return tidy(X.nullable_rates(X.confusion(A.predictions(spark, sf), SLICE, LABEL, "alert_capacity_prediction")))
+    return tidy(X.nullable_rates(X.confusion(A.saved_predictions(spark, sf), SLICE, LABEL, "alert_capacity_prediction")))
 
 
 @query(
@@ -122,7 +122,7 @@ def nullable_metrics(spark, sf):
     + f"SELECT auc.observation_day, {rd('roc_auc', 'roc_auc')}, {rd('average_precision', 'average_precision')}, {rd('brier_score', 'brier_score')}, {rd('log_loss', 'log_loss')} FROM auc JOIN ap USING (observation_day) JOIN loss USING (observation_day)",
 )
 def ranking_metrics(spark, sf):
-    out = X.ranking_metrics(A.predictions(spark, sf), DAY, SCORE, LABEL)
+    out = X.ranking_metrics(A.saved_predictions(spark, sf), DAY, SCORE, LABEL)
     return tidy(out.select("observation_day", "roc_auc", "average_precision", "brier_score", "log_loss"))
 
 
@@ -158,7 +158,7 @@ bins AS (SELECT {', '.join('bn.' + c for c in by)}, bn.lo AS bin_lower, bn.hi AS
     + f"SELECT observation_day, {rd('bin_lower', 'bin_lower')}, {rd('bin_upper', 'bin_upper')}, row_count, {rd('mean_predicted_value', 'mean_predicted_value')}, {rd('observed_positive_rate', 'observed_positive_rate')}, {rd('absolute_calibration_gap', 'absolute_calibration_gap')} FROM bins",
 )
 def calibration_bins(spark, sf):
-    return tidy(X.calibration_bins(A.predictions(spark, sf), DAY, SCORE, LABEL))
+    return tidy(X.calibration_bins(A.saved_predictions(spark, sf), DAY, SCORE, LABEL))
 
 
 @query(
@@ -167,7 +167,7 @@ def calibration_bins(spark, sf):
     + f"SELECT observation_day, outer_holdout_id, {rd('sum(row_count * absolute_calibration_gap) / sum(row_count)', 'expected_calibration_error')}, {rd('max(absolute_calibration_gap)', 'maximum_calibration_error')} FROM bins GROUP BY ALL",
 )
 def calibration_errors(spark, sf):
-    bins = X.calibration_bins(A.predictions(spark, sf), SLICE, SCORE, LABEL)
+    bins = X.calibration_bins(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL)
     return tidy(X.calibration_errors(bins, SLICE))
 
 
@@ -177,7 +177,7 @@ def calibration_errors(spark, sf):
 SELECT observation_day, """ + rd("sum(n * abs(s - y)) / sum(n)", "expected_calibration_error") + " FROM b GROUP BY ALL",
 )
 def monitoring_error(spark, sf):
-    return tidy(X.monitoring_calibration_error(A.predictions(spark, sf), DAY, SCORE, LABEL))
+    return tidy(X.monitoring_calibration_error(A.saved_predictions(spark, sf), DAY, SCORE, LABEL))
 
 
 _MACRO = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision", "brier_score"]
@@ -192,7 +192,7 @@ _MACRO = ["accuracy", "precision", "recall", "f1", "roc_auc", "average_precision
     ),
 )
 def macro_summary(spark, sf):
-    rep = X.classification_report(A.predictions(spark, sf), SLICE, SCORE, LABEL)
+    rep = X.classification_report(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL)
     return tidy(Su.macro_summary(rep, DAY, _MACRO))
 
 
@@ -225,7 +225,7 @@ _DIFF = (
 
 
 def _policy_metrics(spark, sf):
-    long = Th.long_decisions(A.predictions(spark, sf), _POL, [*SLICE, LABEL])
+    long = Th.long_decisions(A.saved_predictions(spark, sf), _POL, [*SLICE, LABEL])
     m = X.zero_rates(X.confusion(long, [*SLICE, "threshold_policy"], LABEL, "decision"))
     return m.withColumn("brier_score", F.col("accuracy"))
 
@@ -275,7 +275,7 @@ _WORST = {
     ),
 )
 def worst_holdouts(spark, sf):
-    rep = X.classification_report(A.predictions(spark, sf), SLICE, SCORE, LABEL)
+    rep = X.classification_report(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL)
     return tidy(Su.worst_slices(rep, DAY, "outer_holdout_id", _WORST))
 
 
@@ -293,7 +293,7 @@ splits AS (SELECT o.*, count(t.entity) AS training_rows, count(DISTINCT t.entity
 
 @query("c09_holdout_overlap", PRED + _OVERLAP + "SELECT * FROM splits")
 def holdout_overlap(spark, sf):
-    return tidy(H.holdout_overlap(A.predictions(spark, sf), "outer_holdout_id"))
+    return tidy(H.holdout_overlap(A.saved_predictions(spark, sf), "outer_holdout_id"))
 
 
 @query(
@@ -302,7 +302,7 @@ def holdout_overlap(spark, sf):
     + " SELECT unit, period, entity, observation_day, actual_label FROM pred WHERE outer_holdout_id <> 'M1_P0' AND observation_day = 13 AND entity NOT IN (SELECT entity FROM pred WHERE outer_holdout_id = 'M1_P0' AND observation_day = 13 AND entity % 3 <> 0)",
 )
 def strict_training(spark, sf):
-    p = A.predictions(spark, sf).where("observation_day = 13").where("outer_holdout_id <> 'M1_P0' OR entity % 3 <> 0")
+    p = A.saved_predictions(spark, sf).where("observation_day = 13").where("outer_holdout_id <> 'M1_P0' OR entity % 3 <> 0")
     train, _ = H.leave_one_out(p, "outer_holdout_id", "M1_P0")
     return tidy(train.select(*OBSERVATION_KEYS, LABEL))
 
@@ -313,7 +313,7 @@ def strict_training(spark, sf):
     + "SELECT observation_day, count(*) AS holdouts, CAST(sum(overlapping_entities) AS BIGINT) AS overlapping_entities, CAST(sum(removed_entities) AS BIGINT) AS removed_entities, CAST(sum(removed_rows) AS BIGINT) AS removed_rows FROM splits GROUP BY ALL",
 )
 def overlap_totals(spark, sf):
-    splits = H.holdout_overlap(A.predictions(spark, sf), "outer_holdout_id")
+    splits = H.holdout_overlap(A.saved_predictions(spark, sf), "outer_holdout_id")
     tripled = splits.withColumn("model", F.explode(F.array(*[F.lit(m) for m in "ABC"])))
     return tidy(Su.overlap_totals(tripled, SLICE, DAY))
 
@@ -403,7 +403,7 @@ _PT = ", ".join([rd("threshold", "threshold"), rd("precision", "precision"), rd(
 
 @query("d46_threshold_candidates", PRED + cand_sql(DAY) + f"SELECT observation_day, {_PT} FROM cnd")
 def threshold_candidates(spark, sf):
-    return tidy(Th.threshold_candidates(A.predictions(spark, sf), DAY, SCORE, LABEL))
+    return tidy(Th.threshold_candidates(A.saved_predictions(spark, sf), DAY, SCORE, LABEL))
 
 
 def _select_sql(by: list[str]) -> str:
@@ -430,7 +430,7 @@ def _select_sql(by: list[str]) -> str:
 
 @query("d47_threshold_policies", PRED + _select_sql(SLICE) + f"SELECT observation_day, outer_holdout_id, threshold_policy, {_PT}, CAST(0 AS BIGINT) AS selection_fallback FROM sel")
 def threshold_policies(spark, sf):
-    return tidy(Th.select_thresholds(A.predictions(spark, sf), SLICE, SCORE, LABEL))
+    return tidy(Th.select_thresholds(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL))
 
 
 @query(
@@ -443,7 +443,7 @@ SELECT observation_day, policy AS threshold_policy, {rd('tm', 'selected_threshol
  {rd('(tp + fp) / n', 'alert_rate')}, {rd('5 * fn + fp', 'cost')} FROM pc JOIN sp USING (observation_day, policy)""",
 )
 def policy_summary(spark, sf):
-    long = Th.long_decisions(A.predictions(spark, sf), _POL, [*SLICE, LABEL])
+    long = Th.long_decisions(A.saved_predictions(spark, sf), _POL, [*SLICE, LABEL])
     by = ["observation_day", "threshold_policy"]
     per = long.select(*by, "outer_holdout_id", "selected_threshold").distinct()
     return tidy(Th.policy_summary(per, long, by))
@@ -459,7 +459,7 @@ cnd AS (SELECT *, {zero_div('2 * precision * recall', 'precision + recall')} AS
 SELECT observation_day, {_PT} FROM cnd""",
 )
 def tradeoff_curve(spark, sf):
-    return tidy(Th.tradeoff_curve(A.predictions(spark, sf), DAY, SCORE, LABEL))
+    return tidy(Th.tradeoff_curve(A.saved_predictions(spark, sf), DAY, SCORE, LABEL))
 
 
 @query(
@@ -471,7 +471,7 @@ def tradeoff_curve(spark, sf):
     ),
 )
 def decision_mismatches(spark, sf):
-    return Th.decision_mismatches(A.predictions(spark, sf), _POL)
+    return Th.decision_mismatches(A.saved_predictions(spark, sf), _POL)
 
 
 @query(
@@ -481,7 +481,7 @@ def decision_mismatches(spark, sf):
       CAST(0 AS BIGINT) AS invalid_decisions, count(*) FILTER (WHERE outer_holdout_id <> unit || '_' || period) AS foreign_holdouts FROM pred""",
 )
 def violations(spark, sf):
-    return Th.prediction_violations(A.predictions(spark, sf), A.POLICIES)
+    return Th.prediction_violations(A.saved_predictions(spark, sf), A.POLICIES)
 
 
 # ---------------------------------------------------------------- folds and baselines
@@ -497,7 +497,7 @@ _PROF = "prof AS (SELECT entity, max(actual_label) AS stratum FROM pred WHERE (e
 
 
 def _sparse(spark, sf):
-    return A.predictions(spark, sf).where((F.col("entity") + F.col("observation_day")) % 3 == 0)
+    return A.saved_predictions(spark, sf).where((F.col("entity") + F.col("observation_day")) % 3 == 0)
 
 
 @query(
@@ -506,7 +506,7 @@ def _sparse(spark, sf):
     + " SELECT unit, period, entity, observation_day, " + rd("(SELECT avg(actual_label) FROM pred WHERE outer_holdout_id <> 'M0_P0')", "score") + " FROM pred WHERE outer_holdout_id = 'M0_P0'",
 )
 def prior_scores(spark, sf):
-    train, test = H.leave_one_out(A.predictions(spark, sf), "outer_holdout_id", "M0_P0", strict=False)
+    train, test = H.leave_one_out(A.saved_predictions(spark, sf), "outer_holdout_id", "M0_P0", strict=False)
     return tidy(H.prior_scores(train, test, LABEL).select(*OBSERVATION_KEYS, "score"))
 
 
@@ -548,7 +548,7 @@ pf AS (SELECT entity, CAST((start + idx) % 4 + 1 AS BIGINT) AS fold FROM ix JOIN
 
 @query("j05_pattern_folds", PRED + _PAT_FOLD + "SELECT * FROM pf")
 def pattern_folds(spark, sf):
-    return tidy(H.pattern_folds(A.predictions(spark, sf), LABEL, A.OBS, 4))
+    return tidy(H.pattern_folds(A.saved_predictions(spark, sf), LABEL, A.OBS, 4))
 
 
 @query(
@@ -560,7 +560,7 @@ sd AS (SELECT sum((c - m) * (c - m)) AS d FROM (SELECT count(*) AS c, avg(count(
 SELECT """ + rd("pd.d", "positive_deviation") + ", " + rd("sd.d", "size_deviation") + ", " + rd("pd.d * 1000 + sd.d", "balance_score") + " FROM pd, sd",
 )
 def fold_balance(spark, sf):
-    p = A.predictions(spark, sf)
+    p = A.saved_predictions(spark, sf)
     return tidy(H.fold_balance(p, H.pattern_folds(p, LABEL, A.OBS, 4), LABEL))
 
 
@@ -569,4 +569,4 @@ def fold_balance(spark, sf):
     PRED + "cc AS (SELECT unit, period, entity FROM pred GROUP BY ALL HAVING count(*) = 4 AND count(DISTINCT observation_day) = 4) SELECT unit, period, entity, observation_day, actual_label FROM pred JOIN cc USING (unit, period, entity)",
 )
 def common_cohort(spark, sf):
-    return tidy(H.common_cohort(A.predictions(spark, sf), A.OBS, ENTITY_KEYS).select(*OBSERVATION_KEYS, LABEL))
+    return tidy(H.common_cohort(A.saved_predictions(spark, sf), A.OBS, ENTITY_KEYS).select(*OBSERVATION_KEYS, LABEL))

@@ -492,10 +492,10 @@ def shared(spark, sf):
 
 @query(
     "g03_key_difference",
-    "WITH " + A.MODELING + "SELECT unit, period, entity FROM roster EXCEPT SELECT unit, period, entity FROM modeling",
+    "WITH " + A.MODELING + "SELECT unit, period, entity FROM roster EXCEPT SELECT unit, period, entity FROM modeling WHERE observation_day = 19",
 )
 def difference(spark, sf):
-    return P.key_difference(A.roster(spark, sf), A.modeling(spark, sf), ENTITY_KEYS)
+    return P.key_difference(A.roster(spark, sf), A.modeling(spark, sf).where("observation_day = 19"), ENTITY_KEYS)
 
 
 @query(

@@ -68,14 +68,26 @@ def running_totals(
     )
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, cell: Column | None = None) -> DataFrame:
+def average_rank(
+    df: DataFrame, by: Sequence[str], value: str, cell: Column | None = None, few_values: bool = False
+) -> DataFrame:
     """Per distinct value: 1-based average rank, tie count and slice size.
 
-    Result columns: ``by``, ``value``, ``ties``, ``rank``, ``n``.
+    Result columns: ``by``, ``value``, ``ties``, ``rank``, ``n``.  With
+    ``few_values`` (course days, checkpoint counts) the distinct values of a
+    slice are ordered directly, because there are only hundreds of them.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    cell = value_cell(F.col(value)) if cell is None else cell
-    run = running_totals(counts, by, value, cell, ["ties"])
+    if few_values:
+        part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+        upto = part.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        whole = part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        run = counts.withColumns(
+            {"cum_ties": F.sum("ties").over(upto), "all_ties": F.sum("ties").over(whole)}
+        )
+    else:
+        cell = value_cell(F.col(value)) if cell is None else cell
+        run = running_totals(counts, by, value, cell, ["ties"])
     return run.select(
         *by,
         value,
@@ -85,9 +97,11 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, cell: Column | No
     )
 
 
-def percentile_rank(df: DataFrame, by: Sequence[str], value: str, alias: str, cell: Column | None = None) -> DataFrame:
+def percentile_rank(
+    df: DataFrame, by: Sequence[str], value: str, alias: str, cell: Column | None = None, few_values: bool = False
+) -> DataFrame:
     """Add the average-rank percentile in [0, 1]; slices of one row give 1."""
-    ranks = average_rank(df, by, value, cell).select(
+    ranks = average_rank(df, by, value, cell, few_values).select(
         *by,
         value,
         F.when(F.col("n") <= 1, F.lit(1.0))
