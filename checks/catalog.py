@@ -6,3 +6,4 @@ import checks.metrics  # noqa: F401
 import checks.trajectories  # noqa: F401
 import checks.audit  # noqa: F401
 import checks.review  # noqa: F401
+import checks.resampling  # noqa: F401

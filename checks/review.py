@@ -227,7 +227,7 @@ def top_by_capacity(spark, sf):
 @query(
     "e16_alert_cooldown",
     PRED + "a AS (SELECT unit, period, entity, list(observation_day ORDER BY observation_day) AS ds FROM pred WHERE f1_focused_prediction = 1 GROUP BY ALL), "
-    "k AS (SELECT unit, period, entity, list_reduce(list_prepend([-1000], list_transform(ds, x -> [x])), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 6 THEN list_concat(acc, x) ELSE acc END) AS kept FROM a) "
+    "k AS (SELECT unit, period, entity, list_reduce(list_prepend([-1000], list_transform(ds, lambda x: [x])), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 6 THEN list_concat(acc, x) ELSE acc END) AS kept FROM a) "
     "SELECT unit, period, entity, CAST(unnest(kept[2:]) AS BIGINT) AS observation_day FROM k",
 )
 def alert_cooldown(spark, sf):

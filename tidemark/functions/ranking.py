@@ -287,7 +287,7 @@ def top_k(
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Add ``idx`` (0-based) and ``n`` per slice, in md5-bucket then key order.
+    """Add ``idx`` (0-based) and ``group_size`` per slice, in md5-bucket then key order.
 
     Keys must be unique per slice, so the 4,096 hash buckets are even.
     """
@@ -301,7 +301,7 @@ def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), seed
         *by,
         "bucket",
         F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"),
-        F.sum("c").over(whole).alias("n"),
+        F.sum("c").over(whole).alias("group_size"),
     )
     inside = W.partitionBy(*by, "bucket").orderBy(*keys)
     return (

@@ -60,7 +60,7 @@ def entity_split(rows: DataFrame, label: str, test_share: float = 0.2, seed: int
         raise ValueError("test_share must be between 0 and 1")
     profile = rows.groupBy("entity").agg(F.max(F.col(label).cast("int")).alias("stratum"))
     placed = dense_index(profile, ["entity"], ["stratum"], seed)
-    role = F.when(F.col("idx") < F.ceil(F.col("n") * F.lit(test_share)), "test").otherwise("train")
+    role = F.when(F.col("idx") < F.ceil(F.col("group_size") * F.lit(test_share)), "test").otherwise("train")
     return rows.join(placed.select("entity", role.alias("role")), "entity")
 
 
