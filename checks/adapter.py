@@ -162,6 +162,14 @@ def predictions(spark, sf_dir):
     return rows
 
 
+def by_segment(spark, sf_dir, rows):
+    """Holdouts of market segment and period: people share periods, not segments."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), "c_mktsegment")
+    return rows.join(people, "entity").withColumn(
+        "outer_holdout_id", F.concat_ws("_", "c_mktsegment", "period")
+    ).drop("c_mktsegment")
+
+
 _SAVED: dict[tuple[str, str, str], str] = {}
 
 
@@ -368,3 +376,7 @@ info AS (
   FROM roster ro JOIN customer ON c_custkey = ro.entity JOIN nation ON n_nationkey = c_nationkey
   JOIN region ON r_regionkey = n_regionkey WHERE ro.entity % 17 <> 5)
 """
+
+SEGMENTED = """
+p0 AS (SELECT p.* REPLACE (c_mktsegment || '_' || period AS outer_holdout_id) FROM pred p JOIN customer ON c_custkey = entity)
+"""

@@ -7,3 +7,4 @@ import checks.trajectories  # noqa: F401
 import checks.audit  # noqa: F401
 import checks.review  # noqa: F401
 import checks.resampling  # noqa: F401
+import checks.learning  # noqa: F401

@@ -279,11 +279,11 @@ def worst_holdouts(spark, sf):
     return tidy(Su.worst_slices(rep, DAY, "outer_holdout_id", _WORST))
 
 
-_OVERLAP = """ov AS (
-  SELECT p.observation_day, p.outer_holdout_id, count(*) AS test_rows, count(DISTINCT p.entity) AS test_entities FROM pred p GROUP BY ALL),
+_OVERLAP = A.SEGMENTED + """, ov AS (
+  SELECT p.observation_day, p.outer_holdout_id, count(*) AS test_rows, count(DISTINCT p.entity) AS test_entities FROM p0 p GROUP BY ALL),
 tr AS (SELECT o.observation_day, o.outer_holdout_id, q.entity,
-    q.entity IN (SELECT entity FROM pred t WHERE t.observation_day = o.observation_day AND t.outer_holdout_id = o.outer_holdout_id) AS shared
-  FROM ov o JOIN pred q ON q.observation_day = o.observation_day AND q.outer_holdout_id <> o.outer_holdout_id),
+    q.entity IN (SELECT entity FROM p0 t WHERE t.observation_day = o.observation_day AND t.outer_holdout_id = o.outer_holdout_id) AS shared
+  FROM ov o JOIN p0 q ON q.observation_day = o.observation_day AND q.outer_holdout_id <> o.outer_holdout_id),
 splits AS (SELECT o.*, count(t.entity) AS training_rows, count(DISTINCT t.entity) AS training_entities, count(DISTINCT t.entity) FILTER (WHERE t.shared) AS overlapping_entities,
   count(DISTINCT t.entity) FILTER (WHERE t.shared) AS removed_entities, count(*) FILTER (WHERE t.shared) AS removed_rows,
   count(*) FILTER (WHERE NOT t.shared) AS strict_training_rows, count(DISTINCT t.entity) FILTER (WHERE NOT t.shared) AS strict_training_entities
@@ -293,17 +293,17 @@ splits AS (SELECT o.*, count(t.entity) AS training_rows, count(DISTINCT t.entity
 
 @query("c09_holdout_overlap", PRED + _OVERLAP + "SELECT * FROM splits")
 def holdout_overlap(spark, sf):
-    return tidy(H.holdout_overlap(A.saved_predictions(spark, sf), "outer_holdout_id"))
+    return tidy(H.holdout_overlap(_shift_rows(spark, sf), "outer_holdout_id"))
 
 
 @query(
     "c09_strict_training_rows",
-    PRED.rstrip(", ")
-    + " SELECT unit, period, entity, observation_day, actual_label FROM pred WHERE outer_holdout_id <> 'M1_P0' AND observation_day = 13 AND entity NOT IN (SELECT entity FROM pred WHERE outer_holdout_id = 'M1_P0' AND observation_day = 13 AND entity % 3 <> 0)",
+    PRED + A.SEGMENTED
+    + " SELECT unit, period, entity, observation_day, actual_label FROM p0 WHERE outer_holdout_id <> 'BUILDING_P0' AND observation_day = 13 AND entity NOT IN (SELECT entity FROM p0 WHERE outer_holdout_id = 'BUILDING_P0' AND observation_day = 13)",
 )
 def strict_training(spark, sf):
-    p = A.saved_predictions(spark, sf).where("observation_day = 13").where("outer_holdout_id <> 'M1_P0' OR entity % 3 <> 0")
-    train, _ = H.leave_one_out(p, "outer_holdout_id", "M1_P0")
+    rows = _shift_rows(spark, sf).where("observation_day = 13")
+    train, _ = H.leave_one_out(rows, "outer_holdout_id", "BUILDING_P0")
     return tidy(train.select(*OBSERVATION_KEYS, LABEL))
 
 
@@ -313,7 +313,7 @@ def strict_training(spark, sf):
     + "SELECT observation_day, count(*) AS holdouts, CAST(sum(overlapping_entities) AS BIGINT) AS overlapping_entities, CAST(sum(removed_entities) AS BIGINT) AS removed_entities, CAST(sum(removed_rows) AS BIGINT) AS removed_rows FROM splits GROUP BY ALL",
 )
 def overlap_totals(spark, sf):
-    splits = H.holdout_overlap(A.saved_predictions(spark, sf), "outer_holdout_id")
+    splits = H.holdout_overlap(_shift_rows(spark, sf), "outer_holdout_id")
     tripled = splits.withColumn("model", F.explode(F.array(*[F.lit(m) for m in "ABC"])))
     return tidy(Su.overlap_totals(tripled, SLICE, DAY))
 
@@ -328,7 +328,7 @@ def _shift_sql(strict: bool) -> str:
         else ""
     )
     feats = " UNION ALL ".join(f"SELECT observation_day, outer_holdout_id, role, actual_label, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM roles" for f in _SHIFT_FEATURES)
-    return f"""p0 AS (SELECT * FROM pred WHERE (entity + length(outer_holdout_id) + ascii(outer_holdout_id[2]) + ascii(outer_holdout_id[5])) % 3 <> 0),
+    return f"""{A.SEGMENTED},
 h AS (SELECT DISTINCT observation_day, outer_holdout_id FROM p0),
 roles AS (SELECT p0.*, 'test' AS role FROM p0 UNION ALL
   SELECT q.* REPLACE (h.outer_holdout_id AS outer_holdout_id), 'train' AS role FROM h JOIN p0 q ON q.observation_day = h.observation_day AND q.outer_holdout_id <> h.outer_holdout_id {drop}),
@@ -346,9 +346,7 @@ _SH_SEL = "SELECT observation_day, outer_holdout_id, feature, " + ", ".join(rd(c
 
 
 def _shift_rows(spark, sf):
-    """Predictions with a third of the entities absent from each course."""
-    code = F.length("outer_holdout_id") + F.ascii(F.substring("outer_holdout_id", 2, 1)) + F.ascii(F.substring("outer_holdout_id", 5, 1))
-    return A.saved_predictions(spark, sf).where((F.col("entity") + code) % 3 != 0)
+    return A.by_segment(spark, sf, A.saved_predictions(spark, sf))
 
 
 @query("d24_dataset_shift_strict", PRED + _shift_sql(True) + _SH_SEL)
@@ -493,11 +491,11 @@ def _index_sql(name: str, source: str, strata: str) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY substr(md5('42|' || entity), 1, 3), entity) - 1 AS idx, count(*) OVER (PARTITION BY {strata}) AS n FROM {source})"
 
 
-_PROF = "prof AS (SELECT entity, max(actual_label) AS stratum FROM pred WHERE (entity + observation_day) % 3 = 0 GROUP BY ALL), "
+_PROF = "prof AS (SELECT entity, max(actual_label) AS stratum FROM pred WHERE outer_holdout_id = 'M0_P0' GROUP BY ALL), "
 
 
-def _sparse(spark, sf):
-    return A.saved_predictions(spark, sf).where((F.col("entity") + F.col("observation_day")) % 3 == 0)
+def _one_course(spark, sf):
+    return A.saved_predictions(spark, sf).where("outer_holdout_id = 'M0_P0'")
 
 
 @query(
@@ -513,27 +511,27 @@ def prior_scores(spark, sf):
 @query(
     "j03_entity_split",
     PRED + _PROF + _index_sql("ix", "prof", "stratum")
-    + " SELECT unit, period, p.entity, observation_day, CASE WHEN idx < ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS role FROM pred p JOIN ix USING (entity) WHERE (p.entity + observation_day) % 3 = 0",
+    + " SELECT unit, period, p.entity, observation_day, CASE WHEN idx < ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS role FROM pred p JOIN ix USING (entity) WHERE outer_holdout_id = 'M0_P0'",
 )
 def entity_split(spark, sf):
-    return tidy(H.entity_split(_sparse(spark, sf), LABEL).select(*OBSERVATION_KEYS, "role"))
+    return tidy(H.entity_split(_one_course(spark, sf), LABEL).select(*OBSERVATION_KEYS, "role"))
 
 
 @query("j04_fold_assignment", PRED + _PROF + _index_sql("ix", "prof", "stratum") + " SELECT entity, idx % 5 + 1 AS fold FROM ix")
 def fold_assignment(spark, sf):
-    return tidy(H.fold_assignment(_sparse(spark, sf), LABEL, 5))
+    return tidy(H.fold_assignment(_one_course(spark, sf), LABEL, 5))
 
 
 @query(
     "j04_fold_classes",
     PRED + _PROF + _index_sql("ix", "prof", "stratum")
-    + """, f AS (SELECT entity, idx % 5 + 1 AS fold FROM ix), r AS (SELECT * FROM pred WHERE (entity + observation_day) % 3 = 0),
+    + """, f AS (SELECT entity, idx % 5 + 1 AS fold FROM ix), r AS (SELECT * FROM pred WHERE outer_holdout_id = 'M0_P0'),
 v AS (SELECT fold, count(*) AS validation_rows, CAST(sum(actual_label) AS BIGINT) AS validation_positives, count(DISTINCT entity) AS validation_entities FROM r JOIN f USING (entity) GROUP BY ALL),
 w AS (SELECT *, CAST((SELECT count(*) FROM r) - validation_rows AS BIGINT) AS training_rows, CAST((SELECT sum(actual_label) FROM r) - validation_positives AS BIGINT) AS training_positives FROM v)
 SELECT *, CAST(validation_positives > 0 AND validation_positives < validation_rows AND training_positives > 0 AND training_positives < training_rows AS BIGINT) AS valid FROM w""",
 )
 def fold_classes(spark, sf):
-    rows = _sparse(spark, sf)
+    rows = _one_course(spark, sf)
     return tidy(H.fold_classes(rows, H.fold_assignment(rows, LABEL, 5), LABEL))
 
 
