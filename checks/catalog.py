@@ -8,3 +8,4 @@ import checks.audit  # noqa: F401
 import checks.review  # noqa: F401
 import checks.resampling  # noqa: F401
 import checks.learning  # noqa: F401
+import checks.streaming  # noqa: F401
