@@ -9,3 +9,4 @@ import checks.review  # noqa: F401
 import checks.resampling  # noqa: F401
 import checks.learning  # noqa: F401
 import checks.streaming  # noqa: F401
+import checks.sinks  # noqa: F401

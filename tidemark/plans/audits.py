@@ -84,3 +84,26 @@ def stability_analysis(
         "sequences": Tr.sequence_histogram(full),
         "first_warnings": Tr.first_warning_histogram(full),
     }
+
+
+def monitoring_report(
+    batch: DataFrame,
+    reference: DataFrame,
+    features: Sequence[str],
+    score: str,
+    label: str | None = None,
+    aligned: bool = False,
+    threshold: float = 0.5,
+) -> dict[str, DataFrame]:
+    """Feature and score drift of a scored batch; performance once labels exist."""
+    from tidemark.operators import drift as Dr
+
+    features_drift = Dr.feature_drift(batch, Dr.feature_profile(reference, features), features)
+    out = {
+        "features": features_drift,
+        "scores": Dr.score_drift(batch, reference, score, threshold),
+        "alert_counts": Dr.alert_counts(features_drift),
+    }
+    if label is not None:
+        out["performance"] = Dr.delayed_performance(batch, score, label, threshold, aligned)
+    return out
