@@ -407,8 +407,8 @@ def threshold_candidates(spark, sf):
 def _select_sql(by: list[str]) -> str:
     k = ", ".join(by)
 
-    def pick(name: str, where: str, order: str) -> str:
-        return f"SELECT {k}, '{name}' AS threshold_policy, threshold, precision, recall, f1, alert_rate, tp, fp, fn, tn FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {order}) AS rn FROM cnd WHERE {where}) WHERE rn = 1"
+    def pick(name: str, where: str, order: str, fallback: int = 0) -> str:
+        return f"SELECT {k}, '{name}' AS threshold_policy, threshold, precision, recall, f1, alert_rate, tp, fp, fn, tn, {fallback} AS fb FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {order}) AS rn FROM (SELECT *, max(recall) OVER (PARTITION BY {k}) AS best FROM cnd) WHERE {where}) WHERE rn = 1"
 
     return (
         cand_sql(by)
@@ -416,17 +416,18 @@ def _select_sql(by: list[str]) -> str:
         + " UNION ALL ".join(
             [
                 pick("recall_focused", "recall >= 0.8", "threshold DESC, precision DESC"),
+                pick("recall_focused", "best < 0.8", "recall DESC, precision DESC, threshold DESC", 1),
                 pick("f1_focused", "true", "f1 DESC, recall DESC, threshold DESC"),
                 pick("alert_capacity", "alert_rate <= 0.1", "recall DESC, threshold ASC"),
                 pick("cost_sensitive", "true", "cost ASC, recall DESC, threshold DESC"),
-                f"SELECT {k}, 'fixed', 0.5, precision, recall, f1, alert_rate, tp, fp, fn, tn FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY threshold) AS rn FROM cnd WHERE threshold >= 0.5) WHERE rn = 1",
+                f"SELECT {k}, 'fixed', 0.5, precision, recall, f1, alert_rate, tp, fp, fn, tn, 0 FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY threshold) AS rn FROM cnd WHERE threshold >= 0.5) WHERE rn = 1",
             ]
         )
         + ")"
     )
 
 
-@query("d47_threshold_policies", PRED + _select_sql(SLICE) + f"SELECT observation_day, outer_holdout_id, threshold_policy, {_PT}, CAST(0 AS BIGINT) AS selection_fallback FROM sel")
+@query("d47_threshold_policies", PRED + _select_sql(SLICE) + f"SELECT observation_day, outer_holdout_id, threshold_policy, {_PT}, CAST(fb AS BIGINT) AS selection_fallback FROM sel")
 def threshold_policies(spark, sf):
     return tidy(Th.select_thresholds(A.saved_predictions(spark, sf), SLICE, SCORE, LABEL))
 

@@ -31,11 +31,15 @@ def events(spark, sf):
     return p.join(e.select(*ENTITY_KEYS, "episode_start_day"), ENTITY_KEYS, "left")
 
 
-def _allocate(spark, sf):
+def _lanes(spark, sf):
     from tidemark.session import cut_lineage
 
-    rows = cut_lineage(events(spark, sf))
-    return rows, R.allocate_reviews(rows, SCENARIOS, A.OBS, A.STEP)
+    return R.allocate_reviews(cut_lineage(events(spark, sf)), SCENARIOS, A.OBS, A.STEP)
+
+
+def _allocate(spark, sf):
+    """Alert rows and saved lanes; summaries start from a saved allocation."""
+    return events(spark, sf), A._saved(spark, sf, "lanes", _lanes)
 
 
 def _scen_sql() -> str:
@@ -99,8 +103,7 @@ _i = lambda e, n: f"CAST({e} AS BIGINT) AS {n}"
       CASE WHEN review_day IS NULL THEN 'unresolved_at_horizon' ELSE 'reviewed' END AS resolution_status, {_i('episode_start_day', 'episode_start_day')} FROM cs""",
 )
 def review_cases(spark, sf):
-    _, lanes = _allocate(spark, sf)
-    return tidy(R.review_cases(lanes))
+    return tidy(R.review_cases(_lanes(spark, sf)))
 
 
 def _checkpoint_sql() -> str:

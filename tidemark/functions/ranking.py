@@ -254,35 +254,35 @@ def top_k(
     outside the cut are decided by cell totals; only the cell on the boundary
     is ordered, and other rows are spread by ``spread`` to keep tasks even.
     """
-    base = df.withColumn("in_play", F.coalesce(eligible, F.lit(False))).withColumn(
-        "cell", F.when(F.col("in_play"), cell)
+    base = df.withColumn("tk_in_play", F.coalesce(eligible, F.lit(False))).withColumn(
+        "tk_cell", F.when(F.col("tk_in_play"), cell)
     )
-    counts = base.where("in_play").groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    before = W.partitionBy(*by).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    counts = base.where("tk_in_play").groupBy(*by, "tk_cell").agg(F.count(F.lit(1)).alias("tk_in_cell"))
+    before = W.partitionBy(*by).orderBy("tk_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        *by, "cell", "in_cell", F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("ahead")
+        *by, "tk_cell", "tk_in_cell", F.coalesce(F.sum("tk_in_cell").over(before), F.lit(0)).alias("tk_ahead")
     )
-    joined = _match(base, offsets, [*by, "cell"], "left")
+    joined = _match(base, offsets, [*by, "tk_cell"], "left")
     edge = (
-        F.col("in_play")
-        & (F.col("ahead") < F.col(k))
-        & (F.col("ahead") + F.col("in_cell") > F.col(k))
+        F.col("tk_in_play")
+        & (F.col("tk_ahead") < F.col(k))
+        & (F.col("tk_ahead") + F.col("tk_in_cell") > F.col(k))
     )
     lane = F.when(edge, F.lit(-1)).otherwise(F.pmod(F.hash(F.col(spread)), F.lit(256)))
-    place = F.row_number().over(W.partitionBy(*by, "cell", "lane").orderBy(*order))
+    place = F.row_number().over(W.partitionBy(*by, "tk_cell", "tk_lane").orderBy(*order))
     return (
-        joined.withColumn("lane", lane)
-        .withColumn("place", F.when(F.col("lane") == -1, place))
+        joined.withColumn("tk_lane", lane)
+        .withColumn("tk_place", F.when(F.col("tk_lane") == -1, place))
         .withColumn(
             alias,
-            F.col("in_play")
+            F.col("tk_in_play")
             & (
-                F.when(F.col("lane") == -1, F.col("ahead") + F.col("place") <= F.col(k)).otherwise(
-                    F.col("ahead") + F.col("in_cell") <= F.col(k)
+                F.when(F.col("tk_lane") == -1, F.col("tk_ahead") + F.col("tk_place") <= F.col(k)).otherwise(
+                    F.col("tk_ahead") + F.col("tk_in_cell") <= F.col(k)
                 )
             ),
         )
-        .drop("in_play", "cell", "in_cell", "ahead", "lane", "place")
+        .drop("tk_in_play", "tk_cell", "tk_in_cell", "tk_ahead", "tk_lane", "tk_place")
     )
 
 

@@ -274,9 +274,17 @@ def _checkpoint(state: DataFrame, i: int, day: int, step_days: int, hybrid: bool
             "available": capacity_count(F.col(f"n{i}"), F.col("capacity_kind"), F.col("capacity_value")),
         }
     ).withColumn(f"waiting{i}", F.col("open"))
+    lane_key = [*SLICE, "entity", "lane"]
+    queue = moved.where("open").select(
+        *lane_key, "priority_policy", "open", "available", "score", "gap", "origin_day", "alerting_checkpoints", "consecutive"
+    )
+    queue = _hybrid(queue) if hybrid else queue.withColumn("hybrid", F.lit(None).cast("double"))
     cell, order = priority_order()
-    queue = _hybrid(moved) if hybrid else moved.withColumn("hybrid", F.lit(None).cast("double"))
-    picked = top_k(queue, SLICE, "available", cell, order, spread="entity", eligible=F.col("open"), alias=f"reviewed{i}")
+    chosen = top_k(queue, SLICE, "available", cell, order, spread="entity", eligible=F.col("open"))
+    # only the selected lanes come back, and never more than the capacity
+    picked = moved.join(
+        chosen.where("selected").select(*lane_key, F.col("selected").alias(f"reviewed{i}")), lane_key, "left"
+    ).withColumn(f"reviewed{i}", F.coalesce(f"reviewed{i}", F.lit(False)))
     done = F.col(f"reviewed{i}")
     closed = F.struct(
         "origin_day", "origin_score", "origin_label", "recent_day", "score", "gap",
@@ -289,7 +297,7 @@ def _checkpoint(state: DataFrame, i: int, day: int, step_days: int, hybrid: bool
             "last_review": F.when(done, today).otherwise(F.col("last_review")),
             "open": F.col("open") & ~done,
         }
-    ).drop("available", "hybrid")
+    ).drop("available")
 
 
 def review_cases(lanes: DataFrame) -> DataFrame:
