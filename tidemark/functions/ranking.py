@@ -158,11 +158,17 @@ def _pick_ranks(counted: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _celled(df: DataFrame, keep: list[str], value: str, weight: str | None = None) -> DataFrame:
+def _counted_values(df: DataFrame, keep: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """One counted row per slice and distinct value, with its cell.
+
+    Counting first means that a value shared by many rows is one row from then on.
+    """
     multiplicity = F.lit(1) if weight is None else F.col(weight)
-    v = F.col(value).cast("double")
-    return df.where(F.col(value).isNotNull()).select(
-        *keep, v.alias("v"), multiplicity.cast("long").alias("w"), value_cell(v).alias("cell")
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keep, F.col(value).cast("double").alias("v"))
+        .agg(F.sum(multiplicity.cast("long")).alias("w"))
+        .withColumn("cell", value_cell(F.col("v")))
     )
 
 
@@ -180,15 +186,9 @@ def exact_quantiles(
     value do not appear.
     """
     by = list(by)
-    rows = _celled(df, by, value, weight)
+    rows = _counted_values(df, by, value, weight)
     targets = _target_cells(rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw")), by, probabilities)
-    counted = (
-        _match(rows, targets, [*by, "cell"])
-        .groupBy(*by, "cell", "v")
-        .agg(F.sum("w").alias("w"), F.first("ts").alias("ts"), F.first("start").alias("start"))
-        .where("w > 0")
-    )
-    return _pick_ranks(counted, by)
+    return _pick_ranks(_match(rows.where("w > 0"), targets, [*by, "cell"]), by)
 
 
 def complement_quantiles(
@@ -206,8 +206,8 @@ def complement_quantiles(
     the few cells around the wanted ranks are compared group by group.
     """
     by = list(by)
-    rows = _celled(everything, by, value)
-    out = _celled(left_out, [*by, group], value)
+    rows = _counted_values(everything, by, value)
+    out = _counted_values(left_out, [*by, group], value)
     groups = left_out.select(*by, group).distinct()
     all_cells = rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw"))
     spans = (
@@ -218,15 +218,10 @@ def complement_quantiles(
         .agg(F.sum("cw").alias("cw"))
     )
     targets = _target_cells(spans, [*by, group], probabilities)
-    counted_all = _match(
-        rows, targets.select(*by, "cell").distinct(), [*by, "cell"], "left_semi"
-    ).groupBy(*by, "cell", "v").agg(F.sum("w").alias("w"))
-    plus = counted_all.join(targets.select(*by, "cell", group), [*by, "cell"])
-    minus = (
-        _match(out, targets.select(*by, group, "cell"), [*by, group, "cell"], "left_semi")
-        .groupBy(*by, group, "cell", "v")
-        .agg((-F.sum("w")).alias("w"))
-    )
+    plus = rows.join(targets.select(*by, "cell", group), [*by, "cell"])
+    minus = _match(
+        out, targets.select(*by, group, "cell"), [*by, group, "cell"], "left_semi"
+    ).withColumn("w", -F.col("w"))
     columns = [*by, group, "cell", "v", "w"]
     counted = (
         plus.select(*columns)

@@ -104,11 +104,16 @@ def permutation_importance(
     features = list(model.inputs)
     rows = cut_lineage(dense_index(validation.select(*keys, *features, label), keys, seed=seed))
     n = rows.count()
-    plan = _session_frame(rows, _steps(n, features, repeats, seed))
+    plan = F.array(
+        *[
+            F.struct(F.lit(f).alias("shuffled"), F.lit(r).alias("repeat"), F.lit(a).alias("a"), F.lit(c).alias("c"))
+            for f, r, a, c in _steps(n, features, repeats, seed)
+        ]
+    )
     values = rows.select(F.col("idx").alias("source"), F.struct(*[F.col(f).alias(f"v_{f}") for f in features]).alias("other"))
     expanded = (
-        rows.withColumn("one", F.lit(1))
-        .join(F.broadcast(plan.withColumn("one", F.lit(1))), "one")
+        rows.withColumn("p", F.explode(plan))
+        .select(*rows.columns, "p.*")
         .withColumn("source", F.pmod(F.col("a") * F.col("idx") + F.col("c"), F.lit(n)))
         .join(values, "source")
     )
@@ -135,10 +140,6 @@ def permutation_importance(
     )
 
 
-def _session_frame(rows: DataFrame, steps: list) -> DataFrame:
-    return rows.sparkSession.createDataFrame(steps, "shuffled string, repeat int, a long, c long")
-
-
 def summarize_importance(rows: DataFrame) -> DataFrame:
     v = F.col("importance_mean")
     return rows.groupBy("observation_day", "feature").agg(
