@@ -134,15 +134,16 @@ POLICIES = tuple(CUTS)
 
 def predictions(spark, sf_dir):
     """Rows scored by a fixed formula, with saved threshold decisions."""
-    score = F.round(
+    # a multiple of 2^-20, so sums of scores are exact in every engine
+    score = F.floor(
         inverse_logit(
             F.lit(-1.2)
             + F.lit(0.25) * F.coalesce(F.col("current_inactivity_gap"), F.lit(12))
             - F.lit(0.3) * F.col("active_days_last_7_days")
             - F.lit(0.002) * F.col("clicks_last_7_days")
-        ),
-        6,
-    )
+        )
+        * 1048576.0
+    ) / F.lit(1048576.0)
     rows = modeling(spark, sf_dir).select(
         "unit",
         "period",
@@ -352,8 +353,8 @@ MODELING = FEATURES + _MODEL_BODY
 PREDICTIONS = MODELING + """,
 scored AS (
   SELECT *, CAST(future_inactivity AS INTEGER) AS actual_label, unit || '_' || period AS outer_holdout_id,
-    round(1.0 / (1.0 + exp(-(CAST(-1.2 AS DOUBLE) + CAST(0.25 AS DOUBLE) * coalesce(current_inactivity_gap, 12)
-      - CAST(0.3 AS DOUBLE) * active_days_last_7_days - CAST(0.002 AS DOUBLE) * clicks_last_7_days))), 6) AS calibrated_output
+    floor(CAST(1.0 AS DOUBLE) / (1.0 + exp(-(CAST(-1.2 AS DOUBLE) + CAST(0.25 AS DOUBLE) * coalesce(current_inactivity_gap, 12)
+      - CAST(0.3 AS DOUBLE) * active_days_last_7_days - CAST(0.002 AS DOUBLE) * clicks_last_7_days))) * CAST(1048576 AS DOUBLE)) / CAST(1048576 AS DOUBLE) AS calibrated_output
   FROM modeling),
 pred AS (
   SELECT *, CAST(0.5 AS DOUBLE) AS fixed_threshold, CAST(0.4 AS DOUBLE) AS f1_focused_threshold,
