@@ -19,7 +19,7 @@ SCORE, LABEL = "calibrated_output", "actual_label"
 
 
 def rd(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"round(round(CAST({expr} AS DOUBLE), 10), 6) + 0.0 AS {name}"
 
 
 def safe_div(a: str, b: str) -> str:

@@ -24,9 +24,13 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(column: Column | str) -> Column:
-    """Round to 6 places; adding zero turns -0.0 into 0.0."""
+    """Round to 6 places; adding zero turns -0.0 into 0.0.
+
+    Rounding to 10 places first removes the noise of summation order, which
+    would otherwise decide exact ties in the seventh place.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return F.round(F.round(c.cast("double"), 10), 6) + F.lit(0.0)
 
 
 def tidy(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -52,7 +56,7 @@ def tidy(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def tidy_sql(columns: dict[str, str], source: str) -> str:
     """``SELECT`` list matching ``tidy``: kind is one of d, b, i, s, a."""
     wrap = {
-        "d": "round(CAST({c} AS DOUBLE), 6) + 0.0",
+        "d": "round(round(CAST({c} AS DOUBLE), 10), 6) + 0.0",
         "b": "CAST({c} AS BIGINT)",
         "i": "CAST({c} AS BIGINT)",
         "s": "{c}",
