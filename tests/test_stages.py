@@ -216,7 +216,7 @@ def test_late_rows_are_dropped_and_days_close(spark):
     at = lambda d, h=1: dt.datetime(2024, 1, d, h)
     ev = lambda e, t, c: ("A", "P", e, t, 1, c, "quiz")
     folder = write_files(
-        spark, "late", [[ev(1, at(1), 5), ev(1, at(1, 3), 2)], [ev(1, at(4), 7)], [ev(1, at(1, 5), 100), ev(1, at(6), 1)], [ev(2, at(9), 1)]]
+        spark, "late", [[ev(1, at(1), 5), ev(1, at(1, 3), 2)], [ev(1, at(4), 7)], [ev(1, at(6), 1)], [ev(1, at(1, 5), 100)], [ev(2, at(9), 1)]]
     )
     schema = spark.read.parquet(folder).schema
     out = C.drain(C.stream_daily(C.replay_source(spark, folder, schema), "2024-01-01"), "late-out")
@@ -246,6 +246,6 @@ def test_first_alert_within_watermark(spark):
     import datetime as dt
 
     ev = lambda e, d: ("A", "P", e, dt.datetime(2024, 1, d), 1, 1, "quiz")
-    folder = write_files(spark, "dups", [[ev(1, 1)], [ev(1, 3), ev(2, 3)], [ev(1, 30)]])
+    folder = write_files(spark, "dups", [[ev(1, 1)], [ev(1, 3), ev(2, 3)], [ev(3, 31)], [ev(4, 31)], [ev(1, 31)]])
     out = C.drain(C.first_alerts(C.replay_source(spark, folder, spark.read.parquet(folder).schema)), "dups-out")
-    assert sorted((r.entity, r.event_time.day) for r in out.collect()) == [(1, 1), (1, 30), (2, 3)]
+    assert sorted((r.entity, r.event_time.day) for r in out.collect()) == [(1, 1), (1, 31), (2, 3), (3, 31), (4, 31)]
