@@ -4,11 +4,82 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, embeddings, lines, mixing, quality, simhash, tokens, urls
 from tidemark.llm.registry import query, table
+from tidemark.session import scratch_folder
 
 
 @query("op1_simhash_near_dedup")
 def op1(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op2_line_dedup", lines.LINE_DEDUP_SQL)
+def op2(spark, sf_dir):
+    cut = lines.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("line_count").alias("n_lines"),
+        F.col("dropped_count").alias("n_dropped"),
+        F.sha2(F.col("kept_text"), 256).alias("kept_sha256"),
+    )
+
+
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op7_url_filter", urls.URL_SQL)
+def op7(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_token_planes")
+def op3(spark, sf_dir):
+    import public_tokenizers
+
+    path = scratch_folder(spark, "token-files")
+    tokens.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    back = tokens.read_token_files(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark, sf_dir):
+    return decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window_words=5
+    )
+
+
+def grades(labels):
+    """Ratings from 0: poor text, readable but toxic text, good text."""
+    return labels.select(
+        "doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade")
+    )
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_quality(docs, grades(table(spark, sf_dir, "labels")))
+    return quality.score_quality(docs, model, least_grade=2).select(
+        "doc_id", "expected_grade", "tail_probability", "selected"
+    )
