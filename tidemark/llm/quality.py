@@ -2,14 +2,14 @@
 
 P(grade <= k) = logistic(threshold_k - w . x), with one weight vector w over
 hashed words for all grades and ordered thresholds.  x marks which hashed
-features a text has: words, the marks that trail them, words in capitals, and
-bins of the shares of marked, capital, repeated and distinct words.
+features a text has: its words, and bins of its length, of the shares of
+capital, repeated and distinct words and of the share of each sign.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -18,56 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from tidemark.llm.vocabulary import Vocabulary
+_EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…"
+_SIGNS = "!#$%&*+<=>@[\\]^_`{|}~"
 
-_CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
-_PLAIN = frozenset(["", ".", ",", ".,", ";", ":", "?", "!"])
 
+def hashed_features(text: str | None, buckets: int) -> np.ndarray:
+    """Sorted distinct buckets of a whole text; one without words has a bucket of its own."""
 
-class Features:
-    """Hashed features of whole texts; one per worker process."""
+    def bucket(feature: str) -> int:
+        return xxh32_intdigest(feature, 11) % buckets
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        # (word, marks, capitals, has marks, is in capitals); 0 is no feature
-        self.words = Vocabulary(self._describe, 5, np.int64)
-
-    def _hash(self, feature: str) -> int:
-        return 1 + xxh32_intdigest(feature, 11) % (self.buckets - 1)
-
-    def _describe(self, word: str) -> tuple[int, ...]:
-        found = _CORE.search(word)
-        core = found.group(0) if found else ""
-        marks = word[found.end() :] if found else word
-        odd = marks not in _PLAIN
-        loud = len(core) > 1 and core.isupper()
-        return (
-            self._hash("w" + core.lower()) if core else 0,
-            self._hash("m" + marks[:8]) if odd else 0,
-            self._hash("capitals") if loud else 0,
-            int(odd),
-            int(loud),
-        )
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct buckets of a text; a text without words has one of its own."""
-        words = (text or "").split()
-        if not words:
-            return np.array([self._hash("no words")])
-        row = self.words.numbers(words)
-        kinds, counts = np.unique(row, return_counts=True)
-        table = self.words.table()[kinds]
-        n = len(row)
-        shares = (
-            (table[:, 3] * counts).sum() / n,
-            (table[:, 4] * counts).sum() / n,
-            (row[1:] == row[:-1]).sum() / n,
-            len(kinds) / n,
-        )
-        bins = [self._hash(f"share {k} {int(min(s, 0.999) * 20)}") for k, s in enumerate(shares)]
-        bins.append(self._hash(f"length {int(np.log2(n))}"))
-        found = np.unique(np.append(table[:, :3].ravel(), bins))
-        return found[found > 0]
+    text = text or ""
+    words = text.split()
+    if not words:
+        return np.array([bucket("no words")])
+    n = len(words)
+    found = [bucket("w" + w) for w in {w.strip(_EDGES) for w in set(text.lower().split())}]
+    shares = (
+        sum(map(str.isupper, words)) / n,
+        sum(map(eq, words, words[1:])) / n,
+        len(set(words)) / n,
+    )
+    found += [bucket(f"share {k} {int(min(s, 0.999) * 20)}") for k, s in enumerate(shares)]
+    for sign in _SIGNS:
+        count = text.count(sign)
+        if count:
+            found.append(bucket(f"sign {sign} {int(np.log2(count / len(text)))}"))
+    found.append(bucket(f"length {int(np.log2(n))}"))
+    return np.unique(np.array(found))
 
 
 class OrdinalModel:
@@ -81,14 +59,51 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
+def telling_buckets(
+    index: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, buckets: int, least_z: float
+) -> np.ndarray:
+    """Buckets whose presence differs between grades, by the z of two proportions.
+
+    Each grade is compared with all others; at least 3 documents must have the bucket.
+    """
+    held, n = np.bincount(index, minlength=buckets), len(grades)
+    best = np.zeros(buckets)
+    for grade in range(n_grades):
+        mine = grades == grade
+        a = mine.sum()
+        if a in (0, n):
+            continue
+        have = np.bincount(index[mine[row]], minlength=buckets)
+        pooled = held / n
+        spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / a + 1 / (n - a)))
+        best = np.maximum(best, np.abs(have / a - (held - have) / (n - a)) / spread)
+    return np.flatnonzero((held >= 3) & (best >= least_z))
+
+
 def fit_ordinal(
-    features: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, penalty: float = 3e-4, rounds: int = 300
+    features: list[np.ndarray],
+    grades: np.ndarray,
+    n_grades: int,
+    buckets: int,
+    penalty: float = 1e-4,
+    least_z: float = 4.0,
+    balance: float = 0.25,
+    rounds: int = 300,
 ) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty by Adam; grades weigh alike in total."""
-    size = np.fromiter(map(len, features), np.int64, len(features))
-    at, index = np.concatenate(([0], np.cumsum(size)[:-1])), np.concatenate(features)
+    """Maximum likelihood with a ridge penalty by Adam.
+
+    A row weighs its grade's count to the power ``-balance``: 0 is plain maximum
+    likelihood, 1 gives all grades the same total weight.  Only ``telling_buckets`` get a weight: thousands of words that say nothing
+    would otherwise add up to noise in long texts.
+    """
+    size, index = np.fromiter(map(len, features), np.int64, len(features)), np.concatenate(features)
+    used = telling_buckets(index, np.repeat(np.arange(len(size)), size), grades, n_grades, buckets, least_z)
+    place = np.full(buckets, len(used))
+    place[used] = np.arange(len(used))
+    index, at = place[index], np.concatenate(([0], np.cumsum(size)[:-1]))
+    all_buckets, buckets = buckets, len(used) + 1  # the last weight stays at zero
     count = np.bincount(grades, minlength=n_grades).astype(float)
-    weight = 1 / np.maximum(count, 1)[grades]
+    weight = np.maximum(count, 1)[grades] ** -balance
     weight /= weight.sum()
     w, first = np.zeros(buckets), -1.0
     gaps = np.zeros(max(0, n_grades - 2))
@@ -110,21 +125,24 @@ def fit_ordinal(
         up, down = weight * high * (1 - high) / p, -weight * low * (1 - low) / p
         np.add.at(by_cut, grades[grades < n_grades - 1], up[grades < n_grades - 1])
         np.add.at(by_cut, grades[grades > 0] - 1, down[grades > 0])
+        grad[buckets - 1] = 0.0
         grad[buckets] = -by_cut.sum()
         grad[buckets + 1 :] = -np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         rate = 0.05 * (1 - step / (rounds + 1))
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     w, first, gaps = params[:buckets], params[buckets], params[buckets + 1 :]
-    return OrdinalModel(w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+    weights = np.zeros(all_buckets)
+    weights[used] = w[:-1]
+    return OrdinalModel(weights, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
 def train_quality(
     docs: DataFrame,
     ratings: DataFrame,
     n_grades: int = 3,
-    buckets: int = 1 << 16,
-    sample_rows: int = 6000,
+    buckets: int = 1 << 20,
+    sample_rows: int = 12_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     grade_col: str = "grade",
@@ -142,10 +160,8 @@ def train_quality(
     picked = rated.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Features(buckets)
         for batch in batches:
-            maker.words.between_batches()
-            found = [maker.of(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            found = [hashed_features(t, buckets).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["grade", "found"])
 
     sample = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_grade", F.col(text_col))
@@ -174,10 +190,9 @@ def score_quality(
     @F.pandas_udf(schema)
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, thresholds = shared.value
-        maker, fitted = Features(len(weights)), OrdinalModel(weights, thresholds)
+        fitted = OrdinalModel(weights, thresholds)
         for series in texts:
-            maker.words.between_batches()
-            tails = fitted.tails(np.array([weights[maker.of(t)].sum() for t in series]))
+            tails = fitted.tails(np.array([weights[hashed_features(t, len(weights))].sum() for t in series]))
             yield pd.DataFrame(
                 {
                     "expected_grade": tails.sum(axis=1),

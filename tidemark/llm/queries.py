@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, lines, mixing, quality, simhash, tokens, urls
+from tidemark.llm import decontaminate, embeddings, licenses, lines, mixing, quality, simhash, tokens, toolcalls, urls
 from tidemark.llm.registry import query, table
 from tidemark.session import scratch_folder
 
@@ -83,3 +83,38 @@ def op10(spark, sf_dir):
     return quality.score_quality(docs, model, least_grade=2).select(
         "doc_id", "expected_grade", "tail_probability", "selected"
     )
+
+
+CHAT_TOOLS = {
+    "answer": {
+        "type": "object",
+        "required": ["prompt", "turn"],
+        "additionalProperties": False,
+        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+    }
+}
+
+
+@query("op4_tool_call_linking")
+def op4(spark, sf_dir):
+    """A user turn calls the assistant, whose next turn is the result; it builds on the user turn two before."""
+    rows = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    calls = rows.where(F.col("role") == "user").select(
+        "conv_id",
+        name(F.col("turn")).alias("call_id"),
+        F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("parent_id"),
+        F.lit("answer").alias("name"),
+        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn")).alias("arguments"),
+        F.col("turn").alias("position"),
+    )
+    results = rows.where(F.col("role") == "assistant").select(
+        "conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("position")
+    )
+    return toolcalls.link_tool_calls(calls, results, CHAT_TOOLS)
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, licenses.train_licenses(docs))

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +79,8 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-def block_masks(max_distance: int, exact_blocks: int) -> list[int]:
+def block_masks(blocks: int, exact_blocks: int) -> list[int]:
     """Masks (signed longs) of every choice of ``exact_blocks`` of the bit blocks."""
-    blocks = max_distance + exact_blocks
     edge = [64 * k // blocks for k in range(blocks + 1)]
     part = [((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1) for k in range(blocks)]
     masks = [sum(part[k] for k in chosen) for chosen in combinations(range(blocks), exact_blocks)]
@@ -132,7 +132,12 @@ def _search(limit: int, exact: bool, flush_rows: int = 100_000):
 
 
 def fingerprint_links(
-    codes: DataFrame, max_distance: int = 4, exact_blocks: int = 2, chunk_rows: int = 4096, exact: bool = False
+    codes: DataFrame,
+    max_distance: int = 4,
+    exact_blocks: int = 2,
+    chunk_rows: int = 4096,
+    exact: bool = False,
+    blocks: int | None = None,
 ) -> DataFrame:
     """(a, b, distance): links that span all groups of ``codes`` (fingerprint, node).
 
@@ -140,13 +145,16 @@ def fingerprint_links(
     make patterns longer and rarer at the price of more copies of each
     fingerprint; take as many as keep 64 * exact_blocks / (max_distance +
     exact_blocks) bits near the logarithm of the number of fingerprints.
-    ``exact`` keeps the lightest links and their true distances.
+    ``exact`` keeps the lightest links and their true distances.  With fewer
+    ``blocks`` than ``max_distance + exact_blocks`` links above ``blocks -
+    exact_blocks`` bits are found only where enough blocks agree.
     """
+    blocks = blocks or max_distance + exact_blocks
     code = F.col("fingerprint")
     dealt = codes.select(
         "fingerprint",
         "node",
-        F.posexplode(F.array(*[code.bitwiseAND(F.lit(m)) for m in block_masks(max_distance, exact_blocks)])).alias(
+        F.posexplode(F.array(*[code.bitwiseAND(F.lit(m)) for m in block_masks(blocks, exact_blocks)])).alias(
             "mask", "pattern"
         ),
     )
@@ -198,11 +206,98 @@ def near_duplicate_groups(
     )
     links = fingerprint_links(nodes, max_distance, exact_blocks)
     roots = connected_components(links.select("a", "b"))
+    return _with_groups(prints, nodes, roots)
+
+
+SKETCH = 256  # hashes kept of a document's shingle set
+
+
+def _sketch(text: str | None, words: int) -> bytes:
+    """The smallest distinct shingle hashes, 32 bits each; the whole set if it is small."""
+    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def _jaccard(a: bytes, b: bytes) -> float:
+    """Of two sketches; exact when both sets fit, else estimated on the union's smallest hashes."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        union = union[:SKETCH]
+    if len(union) == 0:
+        return 1.0
+    both = np.intersect1d(x, y, assume_unique=True)
+    return float(np.isin(both, union, assume_unique=True).sum() / len(union))
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    min_similarity: float = 0.8,
+    max_distance: int = 13,
+    exact_blocks: int = 2,
+    blocks: int = 10,
+) -> DataFrame:
+    """(doc_id, fingerprint, component_id): groups of texts whose shingle sets are similar.
+
+    Fingerprints lead to candidates: all pairs within ``blocks - exact_blocks``
+    bits, and of those up to ``max_distance`` bits the ones that agree in
+    ``exact_blocks`` of the ``blocks``.  13 bits are the most at which the cosine
+    that 64 bits stand for is still 0.8.  The lightest links that span each
+    index group are compared by the Jaccard similarity of their shingle sets
+    (exact up to 256 shingles, estimated from 256 hashes beyond) and link from
+    ``min_similarity`` on.  Nulls are treated as in ``near_duplicate_groups``.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    nodes = written(
+        prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("node")),
+        "distinct-fingerprints",
+    )
+    links = fingerprint_links(nodes, max_distance, exact_blocks, exact=True, blocks=blocks)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_sketch(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    sketches = written(
+        docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+        .join(linked, "node", "left_semi")
+        .mapInArrow(run, "node long, sketch binary")
+        .groupBy("node")
+        .agg(F.min("sketch").alias("sketch")),
+        "sketches",
+    )
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_jaccard(a, b) for a, b in zip(x, y)], dtype="float64")
+
+    similar = (
+        links.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+        .where(jaccard("x", "y") >= min_similarity)
+        .select("a", "b")
+    )
+    return _with_groups(prints, nodes, connected_components(similar))
+
+
+def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     groups = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
     return prints.join(groups, "fingerprint", "left").select(
         "doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the smallest id of each group only, once each; rows with a null id stay."""
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def hex_fingerprint(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
