@@ -37,16 +37,19 @@ _NAMES = {_NUM: "number", _MEAS: "measure", _NAME: "name", 5: "unit"}
 
 def _describe(word: str) -> tuple[int, ...]:
     """(literal code, kind inside a sentence, is a unit, ends a sentence)."""
-    found = _CORE.search(word)
-    core = found.group(0) if found else ""
-    if word in UNITS:
+    if word.isalpha():
         core = word
+    elif word[:-1].isalpha() and word[-1] in ",.;:!?" and word not in UNITS:
+        core = word[:-1]
+    else:
+        found = _CORE.search(word)
+        core = word if word in UNITS else found.group(0) if found else ""
     if not core:
         return 0, _NONE, 0, int(word[-1:] in ".!?:")
     kind = _LITERAL
-    if _NUMBER.match(core):
+    if not core[0].isalpha() and _NUMBER.match(core):
         kind = _NUM
-    elif _MEASURE.match(core):
+    elif not core[0].isalpha() and _MEASURE.match(core):
         kind = _MEAS
     elif len(core) > 1 and core[0].isupper() and core[1:].islower():
         kind = _NAME

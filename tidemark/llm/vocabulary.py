@@ -17,26 +17,33 @@ class Vocabulary(dict):
     def __init__(self, describe: Callable[[str], tuple[int, ...]], width: int, kind=np.uint64, most: int = 500_000):
         super().__init__()
         self._describe, self._width, self._kind, self._most = describe, width, kind, most
-        self._rows: list[tuple[int, ...]] = []
-        self._table = np.empty((0, width), kind)
+        self._new: list[tuple[int, ...]] = []
+        self._table = np.empty((1024, width), kind)
+        self._filled = 0
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self._rows)
-        self._rows.append(self._describe(word))
+        self[word] = number = self._filled + len(self._new)
+        self._new.append(self._describe(word))
         return number
 
     def between_batches(self) -> None:
         if len(self) > self._most:
             self.clear()
-            self._rows.clear()
-            self._table = np.empty((0, self._width), self._kind)
+            self._new.clear()
+            self._filled = 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def table(self) -> np.ndarray:
-        """Properties of all words so far, one row each."""
-        if len(self._table) < len(self._rows):
-            more = np.array(self._rows[len(self._table) :], self._kind).reshape(-1, self._width)
-            self._table = np.concatenate([self._table, more])
-        return self._table
+        """Properties of all words so far, one row each; the array doubles as it fills."""
+        end = self._filled + len(self._new)
+        if end > len(self._table):
+            grown = np.empty((max(end, 2 * len(self._table)), self._width), self._kind)
+            grown[: self._filled] = self._table[: self._filled]
+            self._table = grown
+        if self._new:
+            self._table[self._filled : end] = self._new
+            self._filled = end
+            self._new.clear()
+        return self._table[:end]
