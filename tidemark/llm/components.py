@@ -24,8 +24,9 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of an edge; the root is the smallest node reachable.
+    """(node, root) for every node of an edge that is not a root itself.
 
+    The root is the smallest node reachable.
     Null ends and self loops are ignored; an empty edge table gives an empty
     result.  Repeated edges count once.
     """

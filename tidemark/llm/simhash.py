@@ -141,6 +141,8 @@ def fingerprint_links(
 ) -> DataFrame:
     """(a, b, distance): links that span all groups of ``codes`` (fingerprint, node).
 
+    Without ``exact`` each member is linked to the first of its group, however
+    far, and the distance is 0.
     ``codes`` has one row for each distinct fingerprint.  More ``exact_blocks``
     make patterns longer and rarer at the price of more copies of each
     fingerprint; take as many as keep 64 * exact_blocks / (max_distance +
