@@ -215,7 +215,7 @@ def record_contract(spark, sf):
 @query(
     "b13_published_labels",
     "WITH " + A.MODELING
-    + "SELECT unit, period, entity, observation_day, unit || '_' || period AS source_partition, '1.0' AS dataset_schema_version FROM modeling",
+    + "SELECT unit, period, entity, observation_day, unit || '_' || period AS source_partition, 'multicourse-modeling-v1' AS dataset_schema_version FROM modeling",
 )
 def published_labels(spark, sf):
     return M.published(A.candidates(spark, sf)).select(

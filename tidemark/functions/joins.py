@@ -26,13 +26,14 @@ def lookup_join(
 ) -> DataFrame:
     """Join a fact table to a lookup with unique keys.
 
-    The lookup is broadcast only when its estimated size is within ``limit``.
-    Otherwise the fact side is salted by a hash of ``spread`` and the lookup is
+    A lookup whose estimate is within ``limit`` is joined without a hint:
+    estimates do not see rows that an explode adds, so adaptive execution
+    decides on a broadcast by the size it measures.  Otherwise the fact side is salted by a hash of ``spread`` and the lookup is
     repeated once per salt, so one hot key is shared by ``salts`` tasks.
     """
     keys = list(keys)
     if estimated_bytes(dimension) <= limit:
-        return fact.join(F.broadcast(dimension), keys, how)
+        return fact.join(dimension, keys, how)
     salted_fact = fact.withColumn("salt", F.pmod(F.hash(F.col(spread)), F.lit(salts)))
     salted_dim = dimension.withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -76,14 +76,18 @@ def compare_rankings(summary: DataFrame, first_day: int, second_day: int, k: int
 
 
 def _steps(n: int, features: Sequence[str], repeats: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """Multiplier and offset of one index permutation per feature and repeat."""
+    """Multiplier and offset of one index permutation per feature and repeat.
+
+    The multiplier times an index plus the offset stays below 2**63.
+    """
     out = []
+    limit = max(1, min(n, (2**62) // max(n, 1)))
     for f in features:
         for r in range(repeats):
             digest = int(md5(f"{seed}|{f}|{r}".encode()).hexdigest(), 16)
-            a = digest % n or 1
+            a = digest % limit or 1
             while gcd(a, n) != 1:
-                a = a % n + 1
+                a = a % limit + 1
             out.append((f, r, a, (digest >> 64) % n))
     return out
 

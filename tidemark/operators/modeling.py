@@ -188,7 +188,8 @@ def record_error(columns: Sequence[str]) -> Column:
     """Text of the first broken scoring-record rule, or null.
 
     Missing, unknown and forbidden columns are found while the plan is built;
-    this expression holds the per-row rules.
+    this expression holds the per-row rules.  Text that is no number and booleans
+    break the rule of their row only.
     """
     from tidemark.schema import RECORD_NON_NEGATIVE, RECORD_NULLABLE
 
@@ -198,7 +199,8 @@ def record_error(columns: Sequence[str]) -> Column:
         rules: list[tuple[Column, str]] = []
         if name not in RECORD_NULLABLE:
             rules.append((c.isNull(), f"{name} may not be null"))
-        as_double = c.cast("double")
+        as_double = c.cast("string").try_cast("double")
+        rules.append((c.isNotNull() & as_double.isNull(), f"{name} must be numeric"))
         rules.append((F.isnan(as_double) | (F.abs(as_double) == float("inf")), f"{name} must be finite"))
         if name in RECORD_NON_NEGATIVE:
             rules.append((as_double < 0, f"{name} must be nonnegative"))
@@ -227,7 +229,9 @@ def check_records(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     missing = sorted(set(CHANGE_FEATURES) - present)
     if missing:
         raise ValueError(f"Missing fields: {missing}")
-    return records.withColumn("error", record_error(CHANGE_FEATURES))
+    checked = records.withColumn("error", record_error(CHANGE_FEATURES))
+    text = [n for n in CHANGE_FEATURES if records.schema[n].dataType.typeName() == "string"]
+    return checked.withColumns({n: F.col(n).try_cast("double") for n in text}) if text else checked
 
 
 def drop_absolute(table: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import BROADCAST_LIMIT, estimated_bytes
 from tidemark.functions.ranking import dense_index
 from tidemark.functions.scalars import hash_int, ratio
 from tidemark.operators.metrics import ranking_metrics, zero_rates
@@ -40,9 +39,8 @@ def _draws(indexed: DataFrame, by: Sequence[str], samples: int, seed: int) -> Da
 
 
 def _join_units(draws: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
-    """Broadcast the unit table only while it is small; else shuffle on the unit."""
-    side = F.broadcast(units) if estimated_bytes(units) <= BROADCAST_LIMIT else units
-    return draws.join(side, keys)
+    """Adaptive execution broadcasts the unit table if its measured size allows it."""
+    return draws.join(units, keys)
 
 
 def resampled_sums(

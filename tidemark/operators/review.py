@@ -132,7 +132,11 @@ def priority_order() -> tuple[Column, list[Column]]:
     span = F.lit(10_000)
     cell = (
         F.when(kind == "highest_score", by_score)
-        .when(kind == "persistent_warning", ((99 - n) * 100 + (99 - consecutive)) * span + by_score)
+        # a cell need only ascend with the order: longer runs share one and are ordered inside it
+        .when(
+            kind == "persistent_warning",
+            by_score - (n.cast("long") * (1 << 20) + F.least(consecutive.cast("long"), F.lit((1 << 20) - 1))) * span,
+        )
         .when(
             kind == "inactivity_gap",
             F.when(gap.isNull(), F.lit(10**10)).otherwise((100_000 - gap) * span) + by_score,

@@ -114,7 +114,7 @@ FORBIDDEN_FEATURES = set(AUDIT_COLUMNS) | set(OBSERVATION_KEYS) | {
     "source_partition",
     "dataset_schema_version",
 }
-DATASET_SCHEMA_VERSION = "1.0"
+DATASET_SCHEMA_VERSION = "multicourse-modeling-v1"
 RECORD_SCHEMA_VERSION = "reference-personal-change-v1"
 UNKNOWN_GROUP = "Unknown / Not recorded"
 OBSERVATION_DAYS = (14, 28, 42, 56)

@@ -68,9 +68,11 @@ def stale_partitions(current: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def rebuild_partitions(rows: DataFrame, root: str) -> None:
-    """Replace only the unit-periods present in ``rows``."""
+    """Replace only the unit-periods present in ``rows``, spread over tasks by entity."""
+    writers = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        rows.write.mode("overwrite")
+        rows.repartition(*UNIT_KEYS, F.pmod(F.hash("entity"), F.lit(writers)))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*UNIT_KEYS)

@@ -86,30 +86,36 @@ NAMES = {
 }
 
 
+def _csv_header(spark: SparkSession, path: str) -> dict[str, str]:
+    """Header names without a byte-order mark, and as the file has them."""
+    header = spark.read.option("header", True).csv(path).columns
+    return {h.lstrip("\ufeff"): h for h in header}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, null_token: str = "?") -> DataFrame:
     """Typed scan with a header; columns are matched by name, extras ignored.
 
     A UTF-8 byte-order mark before the header is accepted.  Values that do not
-    parse fail the scan.
+    parse fail the scan, and so does a file whose header differs from the first
+    one's in names or order.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    names = _csv_header(spark, path)
     by_name = {f.name: f for f in schema}
-    clean = [h.lstrip("﻿") for h in header]
-    missing = sorted(set(by_name) - set(clean))
+    missing = sorted(set(by_name) - set(names))
     if missing:
         raise ValueError(f"{path} lacks columns: {missing}")
     full = T.StructType(
-        [T.StructField(h, by_name[h].dataType if h in by_name else T.StringType()) for h in clean]
+        [T.StructField(raw, by_name[h].dataType if h in by_name else T.StringType()) for h, raw in names.items()]
     )
     rows = (
         spark.read.schema(full)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("nullValue", null_token)
         .option("mode", "FAILFAST")
         .csv(path)
     )
-    return rows.select(*[F.col(n).alias(NAMES.get(n, n)) for n in by_name])
+    return rows.select(*[F.col(f"`{names[n]}`").alias(NAMES.get(n, n)) for n in by_name])
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -192,11 +198,21 @@ def read_trajectories_csv(spark: SparkSession, path: str, days: Sequence[int]) -
 
 
 def read_scoring_input(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
-    """CSV or Parquet records for scoring."""
+    """CSV or Parquet records for scoring.
+
+    CSV values stay text, so that ``check_records`` can reject a row whose value
+    is no number; it also turns the accepted ones into doubles.
+    """
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
-        return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+        names = _csv_header(spark, path)
+        missing = sorted({f.name for f in schema} - set(names))
+        if missing:
+            raise ValueError(f"{path} lacks columns: {missing}")
+        text = T.StructType([T.StructField(raw, T.StringType()) for raw in names.values()])
+        rows = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("nullValue", "").csv(path)
+        return rows.select(*[F.col(f"`{names[f.name]}`").alias(f.name) for f in schema])
     raise ValueError("input must be csv or parquet")
 
 
