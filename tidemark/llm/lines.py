@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\f\r"
 
@@ -39,10 +41,14 @@ def drop_shared_lines(
     """
     docs = docs.drop("line_count", "dropped_count", "kept_text")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    # a document's repeats of a line meet inside the first, map-side half of the distinct count
-    held = docs.select(F.col(id_col).alias("_id"), F.explode(lines).alias("_line")).select(
-        "_id", _digest(F.col("_line"), min_chars).alias("_key")
-    ).where(F.col("_key").isNotNull())
+    # texts are cut and digested once; a document's repeats of a line meet inside the
+    # first, map-side half of the distinct count
+    held = written(
+        docs.select(F.col(id_col).alias("_id"), F.explode(lines).alias("_line"))
+        .select("_id", _digest(F.col("_line"), min_chars).alias("_key"))
+        .where(F.col("_key").isNotNull()),
+        "line-keys",
+    )
     shared = (
         held.groupBy("_key")
         .agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keeper"))
