@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import written
 
 GOLDEN = 0.6180339887498949
+GOLDEN_STRIDE = 0.607787409740351  # frac(2**20 * golden ratio), taken from its exact value
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -187,7 +188,9 @@ def mix_sources(
 
     # slot -> source: the last source whose edge is not above the slot's point
     bounds = [(r[0], r[6]) for r in rows if slots[r[0]] > 0]
-    point = F.col("k") * F.lit(GOLDEN) % F.lit(1.0)
+    # k is cut at 20 bits, so that the points of very long schedules keep their precision
+    far, near = F.shiftright("k", 20) * F.lit(GOLDEN_STRIDE), F.col("k").bitwiseAND(0xFFFFF) * F.lit(GOLDEN)
+    point = (far % F.lit(1.0) + near % F.lit(1.0)) % F.lit(1.0)
     part = F.lit(bounds[0][0] if bounds else 0)
     if len(bounds) > 1:
         # the place of the point among the sorted edges, as a literal array searched natively

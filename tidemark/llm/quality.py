@@ -2,8 +2,9 @@
 
 P(grade <= k) = logistic(threshold_k - w . x), with one weight vector w over
 hashed words for all grades and ordered thresholds.  x marks which hashed
-features a text has: its words, and bins of its length, of the shares of
-capital, repeated and distinct words and of the share of each sign.
+features a text has: its words and their beginnings, which say something of
+words too rare to be learned, and bins of its length, of the shares of capital,
+repeated and distinct words and of the share of each sign.
 """
 
 from __future__ import annotations
@@ -20,31 +21,34 @@ from xxhash import xxh32_intdigest
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…"
 _SIGNS = "!#$%&*+<=>@[\\]^_`{|}~"
+_BEGINNINGS = (4, 5, 6)
 
 
-def hashed_features(text: str | None, buckets: int) -> np.ndarray:
-    """Sorted distinct buckets of a whole text; one without words has a bucket of its own."""
+def _bucket(feature: str, buckets: int) -> int:
+    return xxh32_intdigest(feature, 11) % buckets
 
-    def bucket(feature: str) -> int:
-        return xxh32_intdigest(feature, 11) % buckets
 
+def hashed_features(text: str | None, buckets: int) -> np.ndarray:
+    """Sorted distinct buckets of a whole text; one without words has a bucket of its own."""
     text = text or ""
     words = text.split()
     if not words:
-        return np.array([bucket("no words")])
+        return np.array([_bucket("no words", buckets)])
     n = len(words)
-    found = [bucket("w" + w) for w in {w.strip(_EDGES) for w in set(text.lower().split())}]
+    bare = {w.strip(_EDGES) for w in set(text.lower().split())}
+    begun = {w[:k] for k in _BEGINNINGS for w in bare if len(w) >= k}
+    found = [_bucket("w" + w, buckets) for w in bare] + [_bucket("b" + w, buckets) for w in begun]
     shares = (
         sum(map(str.isupper, words)) / n,
         sum(map(eq, words, words[1:])) / n,
         len(set(words)) / n,
     )
-    found += [bucket(f"share {k} {int(min(s, 0.999) * 20)}") for k, s in enumerate(shares)]
+    found += [_bucket(f"share {k} {int(min(s, 0.999) * 20)}", buckets) for k, s in enumerate(shares)]
     for sign in _SIGNS:
         count = text.count(sign)
         if count:
-            found.append(bucket(f"sign {sign} {int(np.log2(count / len(text)))}"))
-    found.append(bucket(f"length {int(np.log2(n))}"))
+            found.append(_bucket(f"sign {sign} {int(np.log2(count / len(text)))}", buckets))
+    found.append(_bucket(f"length {int(np.log2(n))}", buckets))
     return np.unique(np.array(found))
 
 
@@ -86,22 +90,26 @@ def fit_ordinal(
     n_grades: int,
     buckets: int,
     penalty: float = 1e-4,
-    least_z: float = 4.0,
+    least_z: float = 6.0,
     balance: float = 0.25,
     rounds: int = 300,
 ) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty by Adam.
 
     A row weighs its grade's count to the power ``-balance``: 0 is plain maximum
-    likelihood, 1 gives all grades the same total weight.  Only ``telling_buckets`` get a weight: thousands of words that say nothing
-    would otherwise add up to noise in long texts.
+    likelihood, 1 gives all grades the same total weight.  Only ``telling_buckets``
+    get a weight: thousands of words that say nothing would otherwise add up to
+    noise in long texts.
     """
     size, index = np.fromiter(map(len, features), np.int64, len(features)), np.concatenate(features)
-    used = telling_buckets(index, np.repeat(np.arange(len(size)), size), grades, n_grades, buckets, least_z)
-    place = np.full(buckets, len(used))
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    used = telling_buckets(index, row, grades, n_grades, buckets, least_z)
+    place = np.full(buckets, -1)
     place[used] = np.arange(len(used))
-    index, at = place[index], np.concatenate(([0], np.cumsum(size)[:-1]))
-    all_buckets, buckets = buckets, len(used) + 1  # the last weight stays at zero
+    index = place[index]
+    told = index >= 0
+    index, row = index[told], row[told]
+    all_buckets, buckets = buckets, len(used)
     count = np.bincount(grades, minlength=n_grades).astype(float)
     weight = np.maximum(count, 1)[grades] ** -balance
     weight /= weight.sum()
@@ -113,19 +121,18 @@ def fit_ordinal(
     for step in range(1, rounds + 1):
         w, first, gaps = params[:buckets], params[buckets], params[buckets + 1 :]
         cuts = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        score = np.add.reduceat(w[index], at)
+        score = np.bincount(row, w[index], len(size))
         below = 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -60, 60)))
         below = np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], axis=1)
         high, low = below[rows, grades + 1], below[rows, grades]
         p = np.maximum(high - low, 1e-12)
         pull = weight * (high + low - 1)  # gradient of the log likelihood by the score
         grad = np.empty_like(params)
-        grad[:buckets] = -np.bincount(index, np.repeat(pull, size), buckets) + penalty * w
+        grad[:buckets] = -np.bincount(index, pull[row], buckets) + penalty * w
         by_cut = np.zeros(len(cuts))
         up, down = weight * high * (1 - high) / p, -weight * low * (1 - low) / p
         np.add.at(by_cut, grades[grades < n_grades - 1], up[grades < n_grades - 1])
         np.add.at(by_cut, grades[grades > 0] - 1, down[grades > 0])
-        grad[buckets - 1] = 0.0
         grad[buckets] = -by_cut.sum()
         grad[buckets + 1 :] = -np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -133,7 +140,7 @@ def fit_ordinal(
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     w, first, gaps = params[:buckets], params[buckets], params[buckets + 1 :]
     weights = np.zeros(all_buckets)
-    weights[used] = w[:-1]
+    weights[used] = w
     return OrdinalModel(weights, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
@@ -168,7 +175,7 @@ def train_quality(
     rows = sample.mapInArrow(run, "grade int, found binary").orderBy(F.xxhash64("found"), "grade").toArrow()
     if rows.num_rows == 0:
         return OrdinalModel(np.zeros(buckets), np.zeros(n_grades - 1))
-    features = [np.frombuffer(b, np.int32).astype(np.int64) for b in rows["found"].to_pylist()]
+    features = [np.frombuffer(b, np.int32) for b in rows["found"].to_pylist()]
     return fit_ordinal(features, rows["grade"].to_numpy().astype(np.int64), n_grades, buckets)
 
 
