@@ -23,7 +23,7 @@ STEP = 3
 HORIZON = 7
 LENGTH = 30
 HISTORY = 3
-LAST_OBS = max(OBS)
+LAST_DAY = LENGTH - 1
 
 TYPES = {
     "click": "homepage",
@@ -99,7 +99,7 @@ def daily(spark, sf_dir, shift: int = 0):
     return daily_activity(events(spark, sf_dir, shift))
 
 
-def rolling(spark, sf_dir, shift: int = 0, end: int | None = LAST_OBS):
+def rolling(spark, sf_dir, shift: int = 0, end: int | None = LAST_DAY):
     return rolling_features(daily(spark, sf_dir, shift), 0, end)
 
 
@@ -295,7 +295,7 @@ features AS (
 """
 
 
-def rolling_sql(d: str = "daily", e: str = "ev", start: str = "0", end: str = "19", base: str = DAILY) -> str:
+def rolling_sql(d: str = "daily", e: str = "ev", start: str = "0", end: str = "29", base: str = DAILY) -> str:
     return base + _ROLL_BODY.format(d=d, e=e, start=start, end=end)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import adapter as A
@@ -296,15 +299,23 @@ def holdout_overlap(spark, sf):
     return tidy(H.holdout_overlap(_shift_rows(spark, sf), "outer_holdout_id"))
 
 
+_SEGMENTS = [f"{s}_P{p}" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY") for p in (0, 1)]
+
+
 @query(
     "c09_strict_training_rows",
     PRED + A.SEGMENTED
-    + " SELECT unit, period, entity, observation_day, actual_label FROM p0 WHERE outer_holdout_id <> 'BUILDING_P0' AND observation_day = 13 AND entity NOT IN (SELECT entity FROM p0 WHERE outer_holdout_id = 'BUILDING_P0' AND observation_day = 13)",
+    + """, te AS (SELECT DISTINCT outer_holdout_id AS held_out, entity FROM p0), ho AS (SELECT DISTINCT held_out FROM te)
+SELECT h.held_out, p.unit, p.period, p.entity, p.observation_day, p.actual_label FROM ho h JOIN p0 p ON p.outer_holdout_id <> h.held_out
+ANTI JOIN te ON te.held_out = h.held_out AND te.entity = p.entity""",
 )
 def strict_training(spark, sf):
-    rows = _shift_rows(spark, sf).where("observation_day = 13")
-    train, _ = H.leave_one_out(rows, "outer_holdout_id", "BUILDING_P0")
-    return tidy(train.select(*OBSERVATION_KEYS, LABEL))
+    rows = _shift_rows(spark, sf)
+    parts = [
+        H.leave_one_out(rows, "outer_holdout_id", s)[0].select(F.lit(s).alias("held_out"), *OBSERVATION_KEYS, LABEL)
+        for s in _SEGMENTS
+    ]
+    return tidy(reduce(DataFrame.unionByName, parts))
 
 
 @query(
@@ -492,48 +503,53 @@ def _index_sql(name: str, source: str, strata: str) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY substr(md5('42|' || entity), 1, 3), entity) - 1 AS idx, count(*) OVER (PARTITION BY {strata}) AS n FROM {source})"
 
 
-_PROF = "prof AS (SELECT entity, max(actual_label) AS stratum FROM pred WHERE outer_holdout_id = 'M0_P0' GROUP BY ALL), "
-
-
-def _one_course(spark, sf):
-    return A.saved_predictions(spark, sf).where("outer_holdout_id = 'M0_P0'")
+_PROF = "prof AS (SELECT outer_holdout_id, entity, max(actual_label) AS stratum FROM pred GROUP BY ALL), "
+_COURSE_INDEX = _PROF + _index_sql("ix", "prof", "outer_holdout_id, stratum")
+_COURSE = ["outer_holdout_id"]
+_COURSES = [f"M{m}_P{p}" for m in range(3) for p in range(2)]
 
 
 @query(
     "j02_prior_scores",
-    PRED.rstrip(", ")
-    + " SELECT unit, period, entity, observation_day, " + rd("(SELECT avg(actual_label) FROM pred WHERE outer_holdout_id <> 'M0_P0')", "score") + " FROM pred WHERE outer_holdout_id = 'M0_P0'",
+    PRED
+    + "pr AS (SELECT h.outer_holdout_id, avg(q.actual_label) AS prior FROM (SELECT DISTINCT outer_holdout_id FROM pred) h JOIN pred q ON q.outer_holdout_id <> h.outer_holdout_id GROUP BY ALL) SELECT unit, period, entity, observation_day, "
+    + rd("prior", "score") + " FROM pred JOIN pr USING (outer_holdout_id)",
 )
 def prior_scores(spark, sf):
-    train, test = H.leave_one_out(A.saved_predictions(spark, sf), "outer_holdout_id", "M0_P0", strict=False)
-    return tidy(H.prior_scores(train, test, LABEL).select(*OBSERVATION_KEYS, "score"))
+    rows = A.saved_predictions(spark, sf)
+    parts = [
+        H.prior_scores(*H.leave_one_out(rows, "outer_holdout_id", c, strict=False), LABEL).select(*OBSERVATION_KEYS, "score")
+        for c in _COURSES
+    ]
+    return tidy(reduce(DataFrame.unionByName, parts))
 
 
 @query(
     "j03_entity_split",
-    PRED + _PROF + _index_sql("ix", "prof", "stratum")
-    + " SELECT unit, period, p.entity, observation_day, CASE WHEN idx < ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS role FROM pred p JOIN ix USING (entity) WHERE outer_holdout_id = 'M0_P0'",
+    PRED + _COURSE_INDEX
+    + " SELECT unit, period, p.entity, observation_day, CASE WHEN idx < ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS role FROM pred p JOIN ix USING (outer_holdout_id, entity)",
 )
 def entity_split(spark, sf):
-    return tidy(H.entity_split(_one_course(spark, sf), LABEL).select(*OBSERVATION_KEYS, "role"))
+    return tidy(H.entity_split(A.saved_predictions(spark, sf), LABEL, by=_COURSE).select(*OBSERVATION_KEYS, "role"))
 
 
-@query("j04_fold_assignment", PRED + _PROF + _index_sql("ix", "prof", "stratum") + " SELECT entity, idx % 5 + 1 AS fold FROM ix")
+@query("j04_fold_assignment", PRED + _COURSE_INDEX + " SELECT outer_holdout_id, entity, idx % 5 + 1 AS fold FROM ix")
 def fold_assignment(spark, sf):
-    return tidy(H.fold_assignment(_one_course(spark, sf), LABEL, 5))
+    return tidy(H.fold_assignment(A.saved_predictions(spark, sf), LABEL, 5, by=_COURSE))
 
 
 @query(
     "j04_fold_classes",
-    PRED + _PROF + _index_sql("ix", "prof", "stratum")
-    + """, f AS (SELECT entity, idx % 5 + 1 AS fold FROM ix), r AS (SELECT * FROM pred WHERE outer_holdout_id = 'M0_P0'),
-v AS (SELECT fold, count(*) AS validation_rows, CAST(sum(actual_label) AS BIGINT) AS validation_positives, count(DISTINCT entity) AS validation_entities FROM r JOIN f USING (entity) GROUP BY ALL),
-w AS (SELECT *, CAST((SELECT count(*) FROM r) - validation_rows AS BIGINT) AS training_rows, CAST((SELECT sum(actual_label) FROM r) - validation_positives AS BIGINT) AS training_positives FROM v)
+    PRED + _COURSE_INDEX
+    + """, f AS (SELECT outer_holdout_id, entity, idx % 5 + 1 AS fold FROM ix),
+v AS (SELECT outer_holdout_id, fold, count(*) AS validation_rows, CAST(sum(actual_label) AS BIGINT) AS validation_positives, count(DISTINCT entity) AS validation_entities FROM pred JOIN f USING (outer_holdout_id, entity) GROUP BY ALL),
+a AS (SELECT outer_holdout_id, count(*) AS n, sum(actual_label) AS pos FROM pred GROUP BY ALL),
+w AS (SELECT v.*, CAST(n - validation_rows AS BIGINT) AS training_rows, CAST(pos - validation_positives AS BIGINT) AS training_positives FROM v JOIN a USING (outer_holdout_id))
 SELECT *, CAST(validation_positives > 0 AND validation_positives < validation_rows AND training_positives > 0 AND training_positives < training_rows AS BIGINT) AS valid FROM w""",
 )
 def fold_classes(spark, sf):
-    rows = _one_course(spark, sf)
-    return tidy(H.fold_classes(rows, H.fold_assignment(rows, LABEL, 5), LABEL))
+    rows = A.saved_predictions(spark, sf)
+    return tidy(H.fold_classes(rows, H.fold_assignment(rows, LABEL, 5, by=_COURSE), LABEL, by=_COURSE))
 
 
 _PATTERN = """pat AS (SELECT entity, string_agg(y, '' ORDER BY d) AS stratum FROM (

@@ -40,7 +40,8 @@ def _event_stream(spark, sf):
 
 
 def _table_stream(spark, path):
-    return C.replay_source(spark, path, spark.read.parquet(path).schema, files_per_trigger=100)
+    """A written table as one micro-batch, however many files it has."""
+    return C.replay_source(spark, path, spark.read.parquet(path).schema, files_per_trigger=None)
 
 
 _LIMIT = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"

@@ -117,7 +117,7 @@ def course_range(spark, sf):
 @query("b02_one_entity_features", "WITH " + A.FEATURES + tidy_sql(_BASE_KINDS, "features WHERE entity = 7"))
 def one_entity(spark, sf):
     picked = S.course_days(A.daily(spark, sf), entity=7)
-    return tidy(personal_baseline(rolling_features(picked, 0, A.LAST_OBS), A.HISTORY))
+    return tidy(personal_baseline(rolling_features(picked, 0, A.LAST_DAY), A.HISTORY))
 
 
 @query(
@@ -500,12 +500,12 @@ def difference(spark, sf):
 
 @query(
     "g04_concatenate_partitions",
-    "WITH " + A.DAILY + tidy_sql(_DAILY_KINDS, "daily WHERE unit IN ('M0', 'M2')"),
+    "WITH " + A.DAILY + tidy_sql(_DAILY_KINDS, "daily"),
 )
 def concatenate(spark, sf):
     root = _written_daily(spark, sf)
-    parts = [T.read_daily(spark, root, unit=u) for u in ("M0", "M2")]
-    return tidy(parts[0].unionByName(parts[1]))
+    parts = [T.read_daily(spark, root, unit=u) for u in ("M0", "M1", "M2")]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("g05_distinct_days", "WITH " + A.MODELING + "SELECT DISTINCT observation_day FROM modeling")
@@ -582,7 +582,7 @@ def entity_features(spark, sf):
     from tidemark.plans.jobs import course_features
 
     root = _written_daily(spark, sf)
-    return tidy(course_features(T.read_daily(spark, root), unit="M1", period="P0", start_day=0, end_day=A.LAST_OBS, minimum_history=A.HISTORY))
+    return tidy(course_features(T.read_daily(spark, root), unit="M1", period="P0", start_day=0, end_day=A.LAST_DAY, minimum_history=A.HISTORY))
 
 
 @query(

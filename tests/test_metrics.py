@@ -89,6 +89,21 @@ def test_quantiles_match_numpy_with_hot_slice(spark):
         assert got[g] == pytest.approx(list(np.quantile(values, (0.0, 0.025, 0.25, 0.5, 0.9, 1.0))))
 
 
+@pytest.mark.parametrize("low, width", [(0.0, 1e-3), (1e6, 1e-3), (-5.0, 1e-9)])
+def test_narrow_ranges_fall_into_many_cells(spark, low, width):
+    n = 60_000
+    df = spark.range(n).select(F.lit(1).alias("g"), (F.lit(low) + F.col("id") * (width / n)).alias("v"))
+    rows = df.unionByName(spark.range(9 * n).select(F.lit(1).alias("g"), F.lit(low).alias("v")))
+    sizes = Rk.value_cells(df.distinct(), ["g"], "v").groupBy("cell").count()
+    assert sizes.agg(F.max("count")).first()[0] < n / 6
+    cells = Rk.value_cells(df.distinct(), ["g"], "v").groupBy("cell").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    spans = [(r.a, r.b) for r in cells.orderBy("cell").collect()]
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    values = np.array([low + i * (width / n) for i in range(n)] + [low] * (9 * n))
+    got = Rk.exact_quantiles(rows, ["g"], "v", (0.5, 0.93, 0.999)).first().quantiles
+    assert got == pytest.approx(list(np.quantile(values, (0.5, 0.93, 0.999))), rel=1e-15)
+
+
 def test_top_k_with_ties_and_hot_group(spark):
     rng = random.Random(5)
     rows = [("hot", i, 0.5) for i in range(200)] + [("hot", 200 + i, rng.random()) for i in range(200)]

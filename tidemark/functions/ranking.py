@@ -4,7 +4,9 @@ A window ordered over a whole slice puts that slice into one task.  The
 functions here cut each slice into *cells*: a fixed, monotone function of the
 ordering value.  Cell totals are small, so their running totals give every cell
 its starting offset, and the remaining ordering happens inside one cell at a
-time.  A cell is a pure function of the value, so recomputed tasks agree.
+time.  ``value_cells`` also cuts cells with many distinct values between their
+smallest and largest value.  A cell depends on the values only, never on their
+order or placement, so recomputed tasks agree.
 """
 
 from __future__ import annotations
@@ -18,14 +20,49 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import hash_bucket, logit
 
 
+_CELL_VALUES = 4096
+
+
 def score_cell(score: Column, per_unit: int = 64) -> Column:
     """Cell of a probability on the log-odds axis (about 4,400 cells)."""
     return F.floor(logit(score) * F.lit(float(per_unit))).cast("long")
 
 
-def value_cell(value: Column, per_unit: int = 1024) -> Column:
-    """Cell of any finite number on a signed logarithmic axis."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(per_unit))).cast("long")
+def value_cell(value: Column, per_octave: int = 64) -> Column:
+    """Cell of any finite number: about 1 % of its size wide, at every magnitude."""
+    size = F.floor(F.log2(F.abs(value)) * F.lit(float(per_octave))) + 1100 * per_octave
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def _crowded_cells(rows: DataFrame, by: Sequence[str], value: str, cell_values: int) -> DataFrame:
+    """Grid cells with more than ``cell_values`` rows: their range, and the parts to cut it into."""
+    return (
+        rows.groupBy(*by, "grid")
+        .agg(F.count(F.lit(1)).alias("inside"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .where((F.col("inside") > cell_values) & (F.col("high") > F.col("low")))
+        .select(*by, "grid", "low", "high", F.ceil(F.col("inside") / cell_values).alias("parts"))
+    )
+
+
+def _cut_cells(rows: DataFrame, crowded: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``cell``, which orders as the values do, in place of ``grid``."""
+    along = F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * F.col("parts"))
+    part = F.greatest(F.lit(0), F.least(F.col("parts") - 1, along))
+    return (
+        rows.join(crowded, [*by, "grid"], "left")
+        .withColumn("cell", F.struct("grid", F.coalesce(part, F.lit(0)).alias("part")))
+        .drop("grid", "low", "high", "parts")
+    )
+
+
+def value_cells(df: DataFrame, by: Sequence[str], value: str, cell_values: int = _CELL_VALUES) -> DataFrame:
+    """Add ``cell`` for running totals over ``value``; ``df`` holds one row per ``by`` and value.
+
+    A grid cell with more than ``cell_values`` values is cut into equal parts of
+    the range they span.  Nulls and zero share a cell.
+    """
+    rows = df.withColumn("grid", value_cell(F.col(value)))
+    return _cut_cells(rows, _crowded_cells(rows, by, value, cell_values), by, value)
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -86,7 +123,8 @@ def average_rank(
             {"cum_ties": F.sum("ties").over(upto), "all_ties": F.sum("ties").over(whole)}
         )
     else:
-        cell = value_cell(F.col(value)) if cell is None else cell
+        if cell is None:
+            counts, cell = value_cells(counts, by, value), F.col("cell")
         run = running_totals(counts, by, value, cell, ["ties"])
     return run.select(
         *by,
@@ -159,7 +197,7 @@ def _pick_ranks(counted: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _counted_values(df: DataFrame, keep: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """One counted row per slice and distinct value, with its cell.
+    """One counted row per slice and distinct value, with its grid cell.
 
     Counting first means that a value shared by many rows is one row from then on.
     """
@@ -168,7 +206,7 @@ def _counted_values(df: DataFrame, keep: list[str], value: str, weight: str | No
         df.where(F.col(value).isNotNull())
         .groupBy(*keep, F.col(value).cast("double").alias("v"))
         .agg(F.sum(multiplicity.cast("long")).alias("w"))
-        .withColumn("cell", value_cell(F.col("v")))
+        .withColumn("grid", value_cell(F.col("v")))
     )
 
 
@@ -187,6 +225,7 @@ def exact_quantiles(
     """
     by = list(by)
     rows = _counted_values(df, by, value, weight)
+    rows = _cut_cells(rows, _crowded_cells(rows, by, "v", _CELL_VALUES), by, "v")
     targets = _target_cells(rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw")), by, probabilities)
     return _pick_ranks(_match(rows.where("w > 0"), targets, [*by, "cell"]), by)
 
@@ -207,7 +246,9 @@ def complement_quantiles(
     """
     by = list(by)
     rows = _counted_values(everything, by, value)
-    out = _counted_values(left_out, [*by, group], value)
+    crowded = _crowded_cells(rows, by, "v", _CELL_VALUES)
+    rows = _cut_cells(rows, crowded, by, "v")
+    out = _cut_cells(_counted_values(left_out, [*by, group], value), crowded, by, "v")
     groups = left_out.select(*by, group).distinct()
     all_cells = rows.groupBy(*by, "cell").agg(F.sum("w").alias("cw"))
     spans = (

@@ -54,14 +54,16 @@ def leave_one_out(rows: DataFrame, holdout: str, value: str, strict: bool = True
     return train, test
 
 
-def entity_split(rows: DataFrame, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``role`` (train/test): whole entities, stratified by any positive."""
+def entity_split(
+    rows: DataFrame, label: str, test_share: float = 0.2, seed: int = 42, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``role`` (train/test): whole entities, stratified by any positive, per slice of ``by``."""
     if not 0 < test_share < 1:
         raise ValueError("test_share must be between 0 and 1")
-    profile = rows.groupBy("entity").agg(F.max(F.col(label).cast("int")).alias("stratum"))
-    placed = dense_index(profile, ["entity"], ["stratum"], seed)
+    profile = rows.groupBy(*by, "entity").agg(F.max(F.col(label).cast("int")).alias("stratum"))
+    placed = dense_index(profile, ["entity"], [*by, "stratum"], seed)
     role = F.when(F.col("idx") < F.ceil(F.col("group_size") * F.lit(test_share)), "test").otherwise("train")
-    return rows.join(placed.select("entity", role.alias("role")), "entity")
+    return rows.join(placed.select(*by, "entity", role.alias("role")), [*by, "entity"])
 
 
 def fold_assignment(rows: DataFrame, label: str, folds: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import exact_quantiles, running_totals, value_cell
+from tidemark.functions.ranking import exact_quantiles, running_totals, value_cells
 from tidemark.functions.scalars import ratio
 from tidemark.operators.metrics import cohens_kappa, confusion, nullable_rates, spearman
 from tidemark.operators.outcomes import window_activity
@@ -513,5 +513,5 @@ def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.sum(weight).alias("w"))
     )
-    run = running_totals(counts, by, "v", value_cell(F.col("v")), ["w"])
+    run = running_totals(value_cells(counts, by, "v"), by, "v", F.col("cell"), ["w"])
     return run.where(F.col("cum_w") >= F.col("all_w") / 2).groupBy(*by).agg(F.min("v").alias("median"))

@@ -11,15 +11,17 @@ from tidemark.session import scratch_folder
 
 
 def replay_source(
-    spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1, pattern: str = "*.parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = 1,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
-    """Parquet files of a folder in arrival order, a few per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", pattern)
-        .parquet(folder)
-    )
+    """Parquet files of a folder in arrival order, a few per micro-batch; None: all there are in one."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
