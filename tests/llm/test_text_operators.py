@@ -167,6 +167,16 @@ def test_quality_on_held_out_rows(spark):
     assert share[2] > 0.97 and share[0] < 0.05 and share[1] < 0.55
 
 
+def test_quality_repeated_rows_count_once(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rated = grades(spark.read.parquet(f"{folder}/labels.parquet"))
+    once = quality.train_quality(docs, rated)
+    again = F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 3 == 0, 20).otherwise(1)))
+    often = quality.train_quality(docs.withColumn("_n", again).drop("_n"), rated.withColumn("_n", again).drop("_n"))
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 1.0), (3, "a b c " * 4000, 2.0), (None, "x", 0.0)], "doc_id long, text string, expected_grade double")
     none = spark.createDataFrame([(1, None), (None, 1), (8, 1), (2, 9)], "doc_id long, grade int")

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…"
@@ -158,21 +159,23 @@ def train_quality(
 
     Only hashed features of the sample reach the driver.  Ratings outside
     0..n_grades-1, null ratings and ids without a document are left out; with no
-    rating left every document gets even odds.
+    rating left every document gets even odds.  Repeated ratings and repeated rows
+    of a document count once, so that they cannot widen the sample.
     """
     rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(
         F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_grade")
-    )
+    ).distinct()
     share = min(1.0, sample_rows / max(1, rated.count()))
     picked = rated.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashed_features(t, buckets).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["grade", "found"])
+            found = [hashed_features(t, buckets).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "grade", "found"])
 
-    sample = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_grade", F.col(text_col))
-    rows = sample.mapInArrow(run, "grade int, found binary").orderBy(F.xxhash64("found"), "grade").toArrow()
+    sample = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_id", "_grade", F.col(text_col))
+    schema = T.StructType().add("id", rated.schema["_id"].dataType).add("grade", T.IntegerType()).add("found", T.BinaryType())
+    rows = sample.mapInArrow(run, schema).distinct().orderBy(F.xxhash64("found"), "grade").toArrow()
     if rows.num_rows == 0:
         return OrdinalModel(np.zeros(buckets), np.zeros(n_grades - 1))
     features = [np.frombuffer(b, np.int32) for b in rows["found"].to_pylist()]
