@@ -230,7 +230,7 @@ def test_online_baseline_over_many_batches(spark):
     sf = "/root/testdata/sf0.001"
     rolled = A.rolling(spark, sf).where("unit = 'M0'").cache()
     folder = scratch_folder(spark, "days")
-    for low, high in ((0, 6), (7, 12), (13, 19)):
+    for low, high in ((0, 6), (7, 12), (13, 19), (20, 29)):
         rolled.where(F.col("day").between(low, high)).coalesce(1).write.mode("append").parquet(folder)
     got = C.drain(St.online_baseline(C.replay_source(spark, folder, rolled.schema)), "online")
     want = personal_baseline(rolled).select(*got.columns)
