@@ -162,3 +162,22 @@ def test_embedding_links_equal_brute_force(spark):
         assert got[905].n_links == 1 and got[906].component_id == 905 and not got[906].kept
         assert got[None].n_links == 0 and got[None].component_id is None and not got[None].kept
     assert embeddings.link_embeddings(table.limit(0)).count() == 0
+
+
+def test_similar_pair_that_closes_a_cycle_is_kept(spark):
+    # a shared passage makes all texts candidates of each other
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(150)]
+    texts = [passage + [f"u{n}_{k}" for k in range(50)] for n in range(1000)]
+    for n in range(100):  # near copies: J about 0.9
+        copy = list(texts[n])
+        for k in rng.choice(np.arange(150, 200), 2, replace=False):
+            copy[k] = f"v{n}_{k}"
+        texts.append(copy)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    pairs = {(n, 1000 + n) for n in range(100) if len(sets[n] & sets[1000 + n]) >= 0.8 * len(sets[n] | sets[1000 + n])}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert len(pairs) > 70
+    assert sum(got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(got[k] == k for k in range(1000))

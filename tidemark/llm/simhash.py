@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,32 +86,15 @@ def block_masks(blocks: int, exact_blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _search(limit: int, exact: bool, flush_rows: int = 100_000):
-    """Spanning links of each (mask, pattern, pair) group of a sorted partition."""
-
-    def links_of(key: np.ndarray, code: np.ndarray, node: np.ndarray):
-        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        index, n = GrayIndex(code.view(np.uint64), starts), len(code)
-        if not exact:
-            label = np.arange(n)
-            for i, j, _ in index.links(limit):
-                label = merge_labels(label, i, j)
-            at = np.flatnonzero(label != np.arange(n))
-            return node[label[at]], node[at], np.zeros(len(at), np.int64)
-        a = b = d = np.empty(0, np.int64)
-        for i, j, w in index.links(limit, exact=True):
-            a, b, d = np.append(a, i), np.append(b, j), np.append(d, w)
-            keep = spanning_forest(n, a, b, d)
-            a, b, d = a[keep], b[keep], d[keep]
-        return node[a], node[b], d
+def _by_group(work, names: list[str], flush_rows: int = 100_000):
+    """Hands the whole (mask, pattern, pair) groups of a sorted partition of longs to ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
 
         def emit(table: np.ndarray):
-            a, b, d = links_of(table[:3], table[3], table[4])
-            return pa.record_batch([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "distance"])
+            return pa.record_batch([pa.array(c) for c in work(table)], names)
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
@@ -131,31 +113,39 @@ def _search(limit: int, exact: bool, flush_rows: int = 100_000):
     return run
 
 
-def fingerprint_links(
-    codes: DataFrame,
-    max_distance: int = 4,
-    exact_blocks: int = 2,
-    chunk_rows: int = 4096,
-    exact: bool = False,
-    blocks: int | None = None,
-) -> DataFrame:
-    """(a, b, distance): links that span all groups of ``codes`` (fingerprint, node).
+def _group_starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
 
-    Without ``exact`` each member is linked to the first of its group, however
-    far, and the distance is 0.
-    ``codes`` has one row for each distinct fingerprint.  More ``exact_blocks``
-    make patterns longer and rarer at the price of more copies of each
-    fingerprint; take as many as keep 64 * exact_blocks / (max_distance +
-    exact_blocks) bits near the logarithm of the number of fingerprints.
-    ``exact`` keeps the lightest links and their true distances.  With fewer
-    ``blocks`` than ``max_distance + exact_blocks`` links above ``blocks -
-    exact_blocks`` bits are found only where enough blocks agree.
-    """
-    blocks = blocks or max_distance + exact_blocks
-    code = F.col("fingerprint")
+
+def _search(limit: int, exact: bool):
+    """Spanning links of each (mask, pattern, pair) group of a sorted partition."""
+
+    def work(table: np.ndarray):
+        code, node = table[3], table[4]
+        index, n = GrayIndex(code.view(np.uint64), _group_starts(table[:3])), len(code)
+        if not exact:
+            label = np.arange(n)
+            for i, j, _ in index.links(limit):
+                label = merge_labels(label, i, j)
+            at = np.flatnonzero(label != np.arange(n))
+            return node[label[at]], node[at], np.zeros(len(at), np.int64)
+        a = b = d = np.empty(0, np.int64)
+        for i, j, w in index.links(limit, exact=True):
+            a, b, d = np.append(a, i), np.append(b, j), np.append(d, w)
+            keep = spanning_forest(n, a, b, d)
+            a, b, d = a[keep], b[keep], d[keep]
+        return node[a], node[b], d
+
+    return _by_group(work, ["a", "b", "distance"])
+
+
+def _deal(codes: DataFrame, blocks: int, exact_blocks: int, chunk_rows: int) -> DataFrame:
+    """(mask, pattern, pair, fingerprint, node, other columns of ``codes``), each group sorted in one partition."""
+    code, more = F.col("fingerprint"), [c for c in codes.columns if c not in ("fingerprint", "node")]
     dealt = codes.select(
         "fingerprint",
         "node",
+        *more,
         F.posexplode(F.array(*[code.bitwiseAND(F.lit(m)) for m in block_masks(blocks, exact_blocks)])).alias(
             "mask", "pattern"
         ),
@@ -168,21 +158,49 @@ def fingerprint_links(
         "crowded-patterns",
     )
     chunks = F.coalesce("chunks", F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("fingerprint"), chunks)
+    own = F.pmod(F.xxhash64("fingerprint", "node"), chunks)
     pairs = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(
             F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda x: x != own),
             lambda x: F.least(own, x) * chunks + F.greatest(own, x),
         )
     )
-    groups = (
-        dealt.join(crowded, ["mask", "pattern"], "left")
-        .select(F.col("mask").cast("long").alias("mask"), "pattern", F.explode(pairs).alias("pair"), "fingerprint", "node")
-        .repartition("mask", "pattern", "pair")
+    groups = dealt.join(crowded, ["mask", "pattern"], "left").select(
+        F.col("mask").cast("long").alias("mask"), "pattern", F.explode(pairs).alias("pair"), "fingerprint", "node", *more
+    )
+    return _sorted_groups(groups)
+
+
+def _sorted_groups(groups: DataFrame) -> DataFrame:
+    return (
+        groups.repartition("mask", "pattern", "pair")
         .withColumn("rank", gray_rank(F.col("fingerprint")))
         .sortWithinPartitions("mask", "pattern", "pair", "rank")
-        .select("mask", "pattern", "pair", "fingerprint", "node")
+        .select(*groups.columns)
     )
+
+
+def fingerprint_links(
+    codes: DataFrame,
+    max_distance: int = 4,
+    exact_blocks: int = 2,
+    chunk_rows: int = 4096,
+    exact: bool = False,
+    blocks: int | None = None,
+) -> DataFrame:
+    """(a, b, distance): links that span all groups of ``codes`` (fingerprint, node).
+
+    Without ``exact`` each member is linked to the first of its group, however
+    far, and the distance is 0.
+    ``codes`` has one row for each distinct fingerprint.  More ``exact_blocks``
+    make patterns longer and rarer at the price of more copies of each
+    fingerprint; take as many as keep 64 * exact_blocks / (max_distance +
+    exact_blocks) bits near the logarithm of the number of fingerprints.
+    ``exact`` keeps the lightest links and their true distances.  With fewer
+    ``blocks`` than ``max_distance + exact_blocks`` links above ``blocks -
+    exact_blocks`` bits are found only where enough blocks agree.
+    """
+    groups = _deal(codes.select("fingerprint", "node"), blocks or max_distance + exact_blocks, exact_blocks, chunk_rows)
     return groups.mapInArrow(_search(max_distance, exact), "a long, b long, distance long")
 
 
@@ -211,24 +229,106 @@ def near_duplicate_groups(
     return _with_groups(prints, nodes, roots)
 
 
-SKETCH = 256  # hashes kept of a document's shingle set
+_GATHER = 1 << 22  # shingles compared at once: bounds a task's memory
 
 
-def _sketch(text: str | None, words: int) -> bytes:
-    """The smallest distinct shingle hashes, 32 bits each; the whole set if it is small."""
-    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
-    """Of two sketches; exact when both sets fit, else estimated on the union's smallest hashes."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    if len(union) == 0:
-        return 1.0
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, union, assume_unique=True).sum() / len(union))
+class _Candidates:
+    """Which pairs of a group are to be compared, and by whom.
+
+    A pair within ``limit`` bits whose set sizes allow ``least`` similarity is
+    compared under the first choice of blocks that both agree in, and nowhere else.
+    """
+
+    def __init__(self, limit: int, blocks: int, exact_blocks: int, least: float):
+        edge = [64 * k // blocks for k in range(blocks + 1)]
+        self.parts = [np.uint64(((1 << edge[k + 1]) - 1) ^ ((1 << edge[k]) - 1)) for k in range(blocks)]
+        chosen = list(combinations(range(blocks), exact_blocks))
+        self.earlier = np.array([[k not in c and k < max(c) for c in chosen] for k in range(blocks)])
+        self.limit, self.least = limit, least
+
+    def pairs(self, mask: np.ndarray, code: np.ndarray, size: np.ndarray, starts: np.ndarray):
+        for i, j, _ in GrayIndex(code, starts).links(self.limit, exact=True):
+            fits = np.minimum(size[i], size[j]) >= self.least * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            differ = code[i] ^ code[j]
+            taken = np.zeros(len(i), bool)
+            for part, earlier in zip(self.parts, self.earlier):
+                taken |= earlier[mask[i]] & (differ & part == 0)
+            if not taken.all():
+                yield i[~taken], j[~taken]
+
+    def members(self):
+        """The rows of each group that have a pair to compare."""
+
+        def work(table: np.ndarray):
+            some = np.zeros(table.shape[1], bool)
+            code = table[3].view(np.uint64)
+            for i, j in self.pairs(table[0], code, table[5], _group_starts(table[:3])):
+                some[i] = some[j] = True
+            return table[:5, some]
+
+        return _by_group(work, ["mask", "pattern", "pair", "fingerprint", "node"])
+
+    def similar(self):
+        """Links (a, b) that span what is similar in each group, set against set."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, code, node, sets = None, [], [], []
+            links: list[np.ndarray] = []
+
+            def settle():
+                if len(node) > 1:
+                    own = np.array(node, np.int64)
+                    links.append(own[np.stack(self._compared(key[0], np.array(code, np.int64).view(np.uint64), sets))])
+
+            def emit():
+                a, b = np.concatenate(links, axis=1) if links else np.empty((2, 0), np.int64)
+                links.clear()
+                return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+            for batch in batches:
+                keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
+                for now, c, n, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                    if now != key:
+                        settle()
+                        key, code, node, sets = now, [], [], []
+                    code.append(c)
+                    node.append(n)
+                    sets.append(np.frombuffer(s.as_buffer(), np.uint64))
+                yield emit()
+            settle()
+            yield emit()
+
+        return run
+
+    def _compared(self, mask: int, code: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(code), np.array([len(s) for s in sets])
+        begin = np.cumsum(size) - size
+        known, of = np.unique(np.concatenate(sets), return_inverse=True)
+        own, label = np.zeros(len(known), bool), np.arange(n)
+        for i, j in self.pairs(np.full(n, mask), code, size, np.zeros(1, np.int64)):
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            edges = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            for left, others in zip(i[edges], np.split(j, edges[1:])):
+                own[of[begin[left] : begin[left] + size[left]]] = True
+                # pairs that similar ones join already need no comparison
+                others = others[label[others] != label[left]]
+                piece = np.cumsum(size[others]) // _GATHER
+                for right in np.split(others, np.flatnonzero(np.diff(piece)) + 1) if len(others) else []:
+                    hits = own[of[np.concatenate([np.arange(begin[r], begin[r] + size[r]) for r in right])]]
+                    both = np.add.reduceat(hits, np.cumsum(size[right]) - size[right], dtype=np.int64)
+                    right = right[both / (size[left] + size[right] - both) >= self.least]
+                    if len(right):
+                        label = merge_labels(label, np.full(len(right), left), right)
+                own[of[begin[left] : begin[left] + size[left]]] = False
+        at = np.flatnonzero(label != np.arange(n))
+        return label[at], at
 
 
 def similar_groups(
@@ -240,51 +340,62 @@ def similar_groups(
     max_distance: int = 13,
     exact_blocks: int = 2,
     blocks: int = 10,
+    chunk_rows: int = 4096,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of texts whose shingle sets are similar.
 
     Fingerprints lead to candidates: all pairs within ``blocks - exact_blocks``
     bits, and of those up to ``max_distance`` bits the ones that agree in
-    ``exact_blocks`` of the ``blocks``.  13 bits are the most at which the cosine
-    that 64 bits stand for is still 0.8.  The lightest links that span each
-    index group are compared by the Jaccard similarity of their shingle sets
-    (exact up to 256 shingles, estimated from 256 hashes beyond) and link from
-    ``min_similarity`` on.  Nulls are treated as in ``near_duplicate_groups``.
+    ``exact_blocks`` of the ``blocks``.  The rows that have a candidate are dealt
+    again with their sets of shingle hashes, each candidate is compared by the
+    Jaccard similarity of the full sets and links from ``min_similarity`` on;
+    only then links are reduced to those that span.  Nulls are treated as in
+    ``near_duplicate_groups``.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            codes, sizes = [fingerprint(h) for h in hashes], [len(np.unique(h)) for h in hashes]
+            yield pa.record_batch(
+                [batch.column(0), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "fingerprint", "size"]
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = written(
+        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, size long"), "fingerprints"
+    )
     nodes = written(
-        prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("node")),
+        prints.where(F.col("doc_id").isNotNull())
+        .groupBy("fingerprint")
+        .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "size")).alias("first"))
+        .select("fingerprint", "first.node", "first.size"),
         "distinct-fingerprints",
     )
-    links = fingerprint_links(nodes, max_distance, exact_blocks, exact=True, blocks=blocks)
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    candidates = _Candidates(max_distance, blocks, exact_blocks, min_similarity)
+    dealt = written(
+        _deal(nodes, blocks, exact_blocks, chunk_rows).mapInArrow(
+            candidates.members(), "mask long, pattern long, pair long, fingerprint long, node long"
+        ),
+        "candidates",
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_sketch(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+            found = [_shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    sketches = written(
+    sets = (
         docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-        .join(linked, "node", "left_semi")
-        .mapInArrow(run, "node long, sketch binary")
+        .join(dealt.select("node").distinct(), "node", "left_semi")
+        .mapInArrow(shingled, "node long, shingles binary")
         .groupBy("node")
-        .agg(F.min("sketch").alias("sketch")),
-        "sketches",
-    )
-
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaccard(a, b) for a, b in zip(x, y)], dtype="float64")
-
-    similar = (
-        links.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        .where(jaccard("x", "y") >= min_similarity)
-        .select("a", "b")
+        .agg(F.min("shingles").alias("shingles"))
     )
-    return _with_groups(prints, nodes, connected_components(similar))
+    similar = _sorted_groups(
+        dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "shingles")
+    ).mapInArrow(candidates.similar(), "a long, b long")
+    return _with_groups(prints.drop("size"), nodes.drop("size"), connected_components(similar))
 
 
 def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
