@@ -181,3 +181,19 @@ def test_similar_pair_that_closes_a_cycle_is_kept(spark):
     assert len(pairs) > 70
     assert sum(got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
     assert all(got[k] == k for k in range(1000))
+
+
+def test_similarity_is_decided_on_full_sets(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(200):
+        # 13 spaced changes leave J = 531 / 661 = 0.803 of five-word shingles, 14 leave 526 / 666 = 0.790
+        words = [f"{w:x}" for w in rng.integers(0, 2**40, 600)]
+        copy = list(words)
+        for k in range(13 + n % 2):
+            copy[10 + 40 * k] = f"new{n}_{k}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    joined = np.array([got[2 * n + 1] == 2 * n for n in range(200)])
+    assert joined[::2].mean() >= 0.97 and not joined[1::2].any()

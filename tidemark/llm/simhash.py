@@ -237,11 +237,21 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+TWIN_LIMIT = 24  # 0.8 similar sets differ in about 10 of 64 bits, unlike ones in 32; both with a spread of 3 to 4
+
+
+def _twin(hashes: np.ndarray) -> int:
+    """A second fingerprint, of the hashes mixed anew."""
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return fingerprint(mixed ^ (mixed >> np.uint64(29)))
+
+
 class _Candidates:
     """Which pairs of a group are to be compared, and by whom.
 
-    A pair within ``limit`` bits whose set sizes allow ``least`` similarity is
-    compared under the first choice of blocks that both agree in, and nowhere else.
+    A pair within ``limit`` bits whose set sizes allow ``least`` similarity and
+    whose second fingerprints are not far apart is compared under the first
+    choice of blocks that both agree in, and nowhere else.
     """
 
     def __init__(self, limit: int, blocks: int, exact_blocks: int, least: float):
@@ -251,8 +261,10 @@ class _Candidates:
         self.earlier = np.array([[k not in c and k < max(c) for c in chosen] for k in range(blocks)])
         self.limit, self.least = limit, least
 
-    def pairs(self, mask: np.ndarray, code: np.ndarray, size: np.ndarray, starts: np.ndarray):
+    def pairs(self, mask: np.ndarray, code: np.ndarray, twin: np.ndarray, size: np.ndarray, starts: np.ndarray):
         for i, j, _ in GrayIndex(code, starts).links(self.limit, exact=True):
+            fits = np.bitwise_count(twin[i] ^ twin[j]) <= TWIN_LIMIT
+            i, j = i[fits], j[fits]
             fits = np.minimum(size[i], size[j]) >= self.least * np.maximum(size[i], size[j])
             i, j = i[fits], j[fits]
             differ = code[i] ^ code[j]
@@ -267,24 +279,25 @@ class _Candidates:
 
         def work(table: np.ndarray):
             some = np.zeros(table.shape[1], bool)
-            code = table[3].view(np.uint64)
-            for i, j in self.pairs(table[0], code, table[5], _group_starts(table[:3])):
+            code, twin = table[3].view(np.uint64), table[5].view(np.uint64)
+            for i, j in self.pairs(table[0], code, twin, table[6], _group_starts(table[:3])):
                 some[i] = some[j] = True
-            return table[:5, some]
+            return table[:6, some]
 
-        return _by_group(work, ["mask", "pattern", "pair", "fingerprint", "node"])
+        return _by_group(work, ["mask", "pattern", "pair", "fingerprint", "node", "twin"])
 
     def similar(self):
         """Links (a, b) that span what is similar in each group, set against set."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, code, node, sets = None, [], [], []
+            key, code, node, twin, sets = None, [], [], [], []
             links: list[np.ndarray] = []
 
             def settle():
                 if len(node) > 1:
                     own = np.array(node, np.int64)
-                    links.append(own[np.stack(self._compared(key[0], np.array(code, np.int64).view(np.uint64), sets))])
+                    codes = np.array([code, twin], np.int64).view(np.uint64)
+                    links.append(own[np.stack(self._compared(key[0], *codes, sets))])
 
             def emit():
                 a, b = np.concatenate(links, axis=1) if links else np.empty((2, 0), np.int64)
@@ -293,12 +306,14 @@ class _Candidates:
 
             for batch in batches:
                 keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
-                for now, c, n, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                rest = (batch.column(c).to_pylist() for c in (3, 4, 5))
+                for now, c, n, t, s in zip(keys, *rest, batch.column(6)):
                     if now != key:
                         settle()
-                        key, code, node, sets = now, [], [], []
+                        key, code, node, twin, sets = now, [], [], [], []
                     code.append(c)
                     node.append(n)
+                    twin.append(t)
                     sets.append(np.frombuffer(s.as_buffer(), np.uint64))
                 yield emit()
             settle()
@@ -306,12 +321,12 @@ class _Candidates:
 
         return run
 
-    def _compared(self, mask: int, code: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _compared(self, mask: int, code: np.ndarray, twin: np.ndarray, sets: list) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(code), np.array([len(s) for s in sets])
         begin = np.cumsum(size) - size
         known, of = np.unique(np.concatenate(sets), return_inverse=True)
         own, label = np.zeros(len(known), bool), np.arange(n)
-        for i, j in self.pairs(np.full(n, mask), code, size, np.zeros(1, np.int64)):
+        for i, j in self.pairs(np.full(n, mask), code, twin, size, np.zeros(1, np.int64)):
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             edges = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
@@ -337,16 +352,17 @@ def similar_groups(
     text_col: str = "text",
     words: int = 5,
     min_similarity: float = 0.8,
-    max_distance: int = 13,
+    max_distance: int = 18,
     exact_blocks: int = 2,
-    blocks: int = 10,
+    blocks: int = 14,
     chunk_rows: int = 4096,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of texts whose shingle sets are similar.
 
     Fingerprints lead to candidates: all pairs within ``blocks - exact_blocks``
     bits, and of those up to ``max_distance`` bits the ones that agree in
-    ``exact_blocks`` of the ``blocks``.  The rows that have a candidate are dealt
+    ``exact_blocks`` of the ``blocks``.  Sets of Jaccard similarity 0.8 differ in
+    about 10 bits, with a spread of 3.  The rows that have a candidate are dealt
     again with their sets of shingle hashes, each candidate is compared by the
     Jaccard similarity of the full sets and links from ``min_similarity`` on;
     only then links are reduced to those that span.  Nulls are treated as in
@@ -355,27 +371,29 @@ def similar_groups(
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
-            codes, sizes = [fingerprint(h) for h in hashes], [len(np.unique(h)) for h in hashes]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "fingerprint", "size"]
-            )
+            out = []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, words)
+                own = np.unique(hashes)
+                out.append((fingerprint(hashes), _twin(own), len(own)))
+            columns = np.array(out, np.int64).reshape(-1, 3).T
+            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], ["doc_id", "fingerprint", "twin", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     prints = written(
-        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, size long"), "fingerprints"
+        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, twin long, size long"), "fingerprints"
     )
     nodes = written(
         prints.where(F.col("doc_id").isNotNull())
         .groupBy("fingerprint")
-        .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "size")).alias("first"))
-        .select("fingerprint", "first.node", "first.size"),
+        .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "twin", "size")).alias("first"))
+        .select("fingerprint", "first.*"),
         "distinct-fingerprints",
     )
     candidates = _Candidates(max_distance, blocks, exact_blocks, min_similarity)
     dealt = written(
         _deal(nodes, blocks, exact_blocks, chunk_rows).mapInArrow(
-            candidates.members(), "mask long, pattern long, pair long, fingerprint long, node long"
+            candidates.members(), "mask long, pattern long, pair long, fingerprint long, node long, twin long"
         ),
         "candidates",
     )
@@ -393,9 +411,9 @@ def similar_groups(
         .agg(F.min("shingles").alias("shingles"))
     )
     similar = _sorted_groups(
-        dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "shingles")
+        dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "twin", "shingles")
     ).mapInArrow(candidates.similar(), "a long, b long")
-    return _with_groups(prints.drop("size"), nodes.drop("size"), connected_components(similar))
+    return _with_groups(prints.select("doc_id", "fingerprint"), nodes.select("fingerprint", "node"), connected_components(similar))
 
 
 def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
