@@ -197,3 +197,15 @@ def test_similarity_is_decided_on_full_sets(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     joined = np.array([got[2 * n + 1] == 2 * n for n in range(200)])
     assert joined[::2].mean() >= 0.97 and not joined[1::2].any()
+
+
+def test_equal_fingerprints_are_compared(spark):
+    many = "of " * 420
+    rows = [(k, many + " ".join(f"{side}{n}" for n in range(400))) for k, side in enumerate("ab")]
+    assert len({plain_fingerprint(t, 5) for _, t in rows}) == 1
+    docs = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    # different sets with one fingerprint: compared as candidates at distance 0
+    code, sets = np.zeros(3, np.uint64), [np.arange(a, a + 10, dtype=np.uint64) for a in (0, 1, 100)]
+    a, b = simhash._Candidates(18, 14, 2, 0.8)._compared(0, code, code, sets)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 1)]

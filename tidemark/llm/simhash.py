@@ -359,7 +359,9 @@ def similar_groups(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of texts whose shingle sets are similar.
 
-    Fingerprints lead to candidates: all pairs within ``blocks - exact_blocks``
+    Fingerprints here count each shingle once, so they need not equal those of
+    ``fingerprints``; texts of one shingle set are one node.  They lead to
+    candidates: all pairs within ``blocks - exact_blocks``
     bits, and of those up to ``max_distance`` bits the ones that agree in
     ``exact_blocks`` of the ``blocks``.  Sets of Jaccard similarity 0.8 differ in
     about 10 bits, with a spread of 3.  The rows that have a candidate are dealt
@@ -369,30 +371,33 @@ def similar_groups(
     ``near_duplicate_groups``.
     """
 
+    names = ["doc_id", "fingerprint", "twin", "size", "whole"]
+
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, words)
-                own = np.unique(hashes)
-                out.append((fingerprint(hashes), _twin(own), len(own)))
-            columns = np.array(out, np.int64).reshape(-1, 3).T
-            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], ["doc_id", "fingerprint", "twin", "size"])
+                own = _shingle_set(text, words)
+                whole = np.array([xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]
+                out.append((fingerprint(own), _twin(own), len(own), whole))
+            columns = np.array(out, np.int64).reshape(-1, 4).T
+            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     prints = written(
-        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, twin long, size long"), "fingerprints"
+        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, twin long, size long, whole long"),
+        "fingerprints",
     )
     nodes = written(
         prints.where(F.col("doc_id").isNotNull())
-        .groupBy("fingerprint")
-        .agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "twin", "size")).alias("first"))
-        .select("fingerprint", "first.*"),
-        "distinct-fingerprints",
+        .groupBy("fingerprint", "twin", "size", "whole")
+        .agg(F.min("doc_id").cast("long").alias("node")),
+        "distinct-sets",
     )
+    # a node is a shingle set; sets that share a fingerprint are candidates like others
     candidates = _Candidates(max_distance, blocks, exact_blocks, min_similarity)
     dealt = written(
-        _deal(nodes, blocks, exact_blocks, chunk_rows).mapInArrow(
+        _deal(nodes.drop("whole"), blocks, exact_blocks, chunk_rows).mapInArrow(
             candidates.members(), "mask long, pattern long, pair long, fingerprint long, node long, twin long"
         ),
         "candidates",
@@ -413,12 +418,12 @@ def similar_groups(
     similar = _sorted_groups(
         dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "twin", "shingles")
     ).mapInArrow(candidates.similar(), "a long, b long")
-    return _with_groups(prints.select("doc_id", "fingerprint"), nodes.select("fingerprint", "node"), connected_components(similar))
+    return _with_groups(prints, nodes, connected_components(similar), names[1:])
 
 
-def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    groups = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(groups, "fingerprint", "left").select(
+def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame, key=("fingerprint",)) -> DataFrame:
+    groups = nodes.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
+    return prints.join(groups, list(key), "left").select(
         "doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
