@@ -273,3 +273,13 @@ def test_pipeline_stages(spark):
         ids = plain.encode(text[r.doc_id], add_special_tokens=False).ids + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_leaks_of_numbers_and_names(spark):
+    sums, names = "Compute 12 + 7 = 19 and 45 - 3 = 42", "Anna Berta Carl Dora Emil Fritz Gustav"
+    bench = spark.createDataFrame([(1, sums), (2, names)], "item_id long, text string")
+    rows = [(1, f"as said: {sums} so far"), (2, "Compute 13 + 8 = 21 and 44 - 2 = 42"), (3, f"the list {names} ends"), (4, "see Hans Iris Jan Karl Lena Max Nora")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1000, 0):
+        leaks = decontaminate.find_leaks(docs, bench, window_words=5, broadcast_windows=limit)
+        assert {(r.doc_id, r.item_id) for r in leaks.collect()} == {(1, 1), (3, 2)}

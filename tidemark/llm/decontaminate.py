@@ -2,7 +2,8 @@
 
 Text becomes a run of tokens in which numbers, names and units are typed
 placeholders, so that a question with other numbers or names keeps its template.
-Windows of template tokens are hashed and joined with those of the benchmark; the
+Windows of template tokens (of the words themselves where a window is mostly
+placeholders) are hashed and joined with those of the benchmark; the
 values that fill the placeholders must then map one to one between document and
 item along each alignment.
 """
@@ -58,6 +59,7 @@ def _describe(word: str) -> tuple[int, ...]:
 
 
 _PLACE = {k: np.uint64(xxh64_intdigest(name, 2) | 1) for k, name in _NAMES.items()}
+_EXACT = np.uint64(xxh64_intdigest("exact", 2))
 _FACTORS = np.array([xxh64_intdigest(str(k), 3) | 1 for k in range(256)], np.uint64)
 
 
@@ -67,38 +69,41 @@ class Templates:
     def __init__(self):
         self.words = Vocabulary(_describe, 4)
 
-    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, template codes and kinds (1 literal, else a placeholder) without bare punctuation."""
+    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, template codes, word codes and kinds (1 literal, else a placeholder) without bare punctuation."""
         words = (text or "").split()
         row = self.words.numbers(words)
         if len(row) == 0:
-            return words, np.empty(0, np.uint64), np.empty(0, np.int64)
+            return words, np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         code, kind, unit, stop = self.words.table()[row].T
         start = np.append(True, stop[:-1] > 0)
         kind = kind.astype(np.int64)
         kind[start & (kind == _NAME)] = _LITERAL
         after = np.append(False, kind[:-1] == _NUM)
         kind[after & (unit > 0)] = 5
-        code = code.copy()
+        plain, code = code, code.copy()
         for k, place in _PLACE.items():
             code[kind == k] = place
         some = np.flatnonzero(kind != _NONE)
-        return [words[i] for i in some] if len(some) < len(words) else words, code[some], kind[some]
+        return [words[i] for i in some] if len(some) < len(words) else words, code[some], plain[some], kind[some]
 
     @staticmethod
-    def windows(code: np.ndarray, kind: np.ndarray, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of windows of ``size`` tokens with enough literal ones."""
+    def windows(code, plain, kind, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows of ``size`` tokens, and which of them are exact.
+
+        A window with enough literal tokens is hashed as a template, another one by its words.
+        """
         n = len(code) - size + 1
         if n < 1:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        hashed = np.full(n, size, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+        literal = np.cumsum(np.append(0, kind == _LITERAL))
+        exact = literal[size:] - literal[:-size] < least_literal
+        hashed = np.where(exact, _EXACT, np.uint64(size))
         for k in range(size):
-            hashed += code[k : k + n] * _FACTORS[k]
+            hashed += np.where(exact, plain[k : k + n], code[k : k + n]) * _FACTORS[k]
         hashed ^= hashed >> np.uint64(29)
         hashed *= _FACTORS[255]
-        literal = np.cumsum(np.append(0, kind == _LITERAL))
-        at = np.flatnonzero(literal[size:] - literal[:-size] >= least_literal)
-        return at, hashed[at]
+        return np.arange(n), hashed, exact
 
 
 def _slots(words: list[str], kind: np.ndarray, begin: int, size: int) -> list[str]:
@@ -110,16 +115,16 @@ def _clean(word: str) -> str:
     return (found.group(0) if found else word).lower()
 
 
-_WINDOW_SCHEMA = "window long, size int, place int, windows int, slots array<string>"
+_WINDOW_SCHEMA = "window long, size int, place int, exact boolean, templates int, windows int, slots array<string>"
 
 
 def _template_windows(rows: DataFrame, sizes: list[int], share_literal: float, wanted, whole: bool) -> DataFrame:
-    """(id, window, size, place, windows, slots); only windows in ``wanted`` (sorted) if given.
+    """(id, window, size, place, exact, templates, windows, slots); only windows in ``wanted`` (sorted) if given.
 
     ``whole``: a text with fewer tokens than the largest size gives one window of all of them.
     """
     kind_id = rows.schema.fields[0].dataType.simpleString()
-    names = ["id", "window", "size", "place", "windows", "slots"]
+    names = ["id", "window", "size", "place", "exact", "templates", "windows", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -128,19 +133,20 @@ def _template_windows(rows: DataFrame, sizes: list[int], share_literal: float, w
             templates.words.between_batches()
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, code, kind = templates.tokens(text)
+                words, code, plain, kind = templates.tokens(text)
                 mine = [min(len(code), max(sizes))] if whole else sizes
                 for size in mine:
                     if size == 0:
                         continue
-                    at, hashed = templates.windows(code, kind, size, int(np.ceil(share_literal * size)))
-                    total = len(at)
+                    at, hashed, exact = templates.windows(code, plain, kind, size, int(np.ceil(share_literal * size)))
+                    total, loose = len(at), len(at) - int(exact.sum())
                     if known is not None:
                         spot = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
                         hit = known[spot] == hashed
-                        at, hashed = at[hit], hashed[hit]
-                    for k, h in zip(at.tolist(), hashed.view(np.int64).tolist()):
-                        for column, value in zip(out, (doc, h, size, k, total, _slots(words, kind, k, size))):
+                        at, hashed, exact = at[hit], hashed[hit], exact[hit]
+                    for k, h, e in zip(at.tolist(), hashed.view(np.int64).tolist(), exact.tolist()):
+                        slots = [] if e else _slots(words, kind, k, size)
+                        for column, value in zip(out, (doc, h, size, k, e, loose, total, slots)):
                             column.append(value)
                 if len(out[0]) >= 20_000:
                     yield _batch(out, batch.schema.field(0).type, names)
@@ -152,7 +158,7 @@ def _template_windows(rows: DataFrame, sizes: list[int], share_literal: float, w
 
 
 def _batch(out: list[list], id_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
-    kinds = [id_type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    kinds = [id_type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string())]
     return pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
 
@@ -172,8 +178,11 @@ def find_leaks(
 
     ``matched`` of the item's ``windows`` occur in the document on alignments
     whose placeholder values map one to one; a pair is given from ``min_share``
-    on.  At least ``share_literal`` of a window's tokens must be literal.  Items
-    shorter than a window are one window of their whole length.
+    on.  A window with fewer literal tokens than ``share_literal`` of them is no
+    template: it must occur word by word.  The share is the larger one of the
+    item's templates alone and of all its windows; ``matched`` and ``windows``
+    are those of that share.  Items shorter than a window are one window of
+    their whole length, however short.
 
     The benchmark's window hashes go to the workers when there are at most
     ``broadcast_windows`` of them (8 bytes each); beyond that all document
@@ -197,11 +206,11 @@ def find_leaks(
         if len(codes) == 0:
             codes, sizes = np.zeros(1, np.uint64), [window_words]
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(codes))
-    found = _template_windows(rows, sizes, share_literal, wanted, whole=False).drop("windows")
-    pairs = found.join(known, ["window", "size"]).where(F.size("slots") == F.size("item_slots"))
+    found = _template_windows(rows, sizes, share_literal, wanted, whole=False).drop("templates", "windows")
+    pairs = found.join(known, ["window", "size", "exact"]).where(F.size("slots") == F.size("item_slots"))
     by_line = written(
-        pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-            F.collect_set("item_place").alias("places"),
+        pairs.groupBy("id", "item_id", "templates", "windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
+            F.collect_set(F.struct("item_place", "exact")).alias("places"),
             F.array_distinct(
                 F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))))
             ).alias("filled"),
@@ -213,9 +222,21 @@ def find_leaks(
     )
     return (
         by_line.where(same)
-        .select("id", "item_id", "windows", F.explode("places").alias("place"))
+        .select("id", "item_id", "templates", "windows", F.explode("places").alias("place"))
         .groupBy("id", "item_id")
-        .agg(F.count_distinct("place").alias("matched"), F.max("windows").cast("long").alias("windows"))
+        .agg(
+            F.count_distinct(F.when(~F.col("place.exact"), F.col("place.item_place"))).alias("loose"),
+            F.count_distinct("place.item_place").alias("all"),
+            F.max("templates").cast("long").alias("templates"),
+            F.max("windows").cast("long").alias("windows"),
+        )
+        .withColumn("by_all", (F.col("templates") == 0) | (F.col("all") * F.col("templates") > F.col("loose") * F.col("windows")))
+        .select(
+            "id",
+            "item_id",
+            F.when(F.col("by_all"), F.col("all")).otherwise(F.col("loose")).alias("matched"),
+            F.when(F.col("by_all"), F.col("windows")).otherwise(F.col("templates")).alias("windows"),
+        )
         .withColumn("share", F.col("matched") / F.col("windows"))
         .where(F.col("share") >= min_share)
         .withColumnRenamed("id", "doc_id")
