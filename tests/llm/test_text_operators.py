@@ -283,3 +283,15 @@ def test_leaks_of_numbers_and_names(spark):
     for limit in (1000, 0):
         leaks = decontaminate.find_leaks(docs, bench, window_words=5, broadcast_windows=limit)
         assert {(r.doc_id, r.item_id) for r in leaks.collect()} == {(1, 1), (3, 2)}
+
+
+def test_every_turn_is_carried_once(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(990001, 0, None, "a"), (990001, 1, "tool", None), (990002, 0, "system", "s"), (990002, 1, "user", "q"), (990002, 2, "assistant", "r")]
+    rows.unionByName(spark.createDataFrame(odd, rows.schema)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = Counter()
+    for r in QUERIES["op4_tool_call_linking"](spark, str(tmp_path)).collect():
+        got[r.conv_id, r.position] += 1
+        if r.status in ("linked", "early"):  # the answer stands in the row of its call
+            got[r.conv_id, r.position + 1] += 1
+    assert got == Counter((r.conv_id, r.turn) for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").collect())

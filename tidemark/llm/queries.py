@@ -97,7 +97,10 @@ CHAT_TOOLS = {
 
 @query("op4_tool_call_linking")
 def op4(spark, sf_dir):
-    """A user turn calls the assistant, whose next turn is the result; it builds on the user turn two before."""
+    """A user turn calls the assistant, whose next turn is the result; it builds on the user turn two before.
+
+    Turns of any other role are carried as messages without a call.
+    """
     rows = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     calls = rows.where(F.col("role") == "user").select(
@@ -111,7 +114,10 @@ def op4(spark, sf_dir):
     results = rows.where(F.col("role") == "assistant").select(
         "conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("position")
     )
-    return toolcalls.link_tool_calls(calls, results, CHAT_TOOLS)
+    other = rows.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).select(
+        "conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content")
+    )
+    return toolcalls.carry_messages(toolcalls.link_tool_calls(calls, results, CHAT_TOOLS), other)
 
 
 @query("op5_license_scan")

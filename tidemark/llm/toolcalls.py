@@ -210,3 +210,24 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     return rows.withColumn("_done", finish(parts)).select(
         "conv_id", "call_id", "position", "depth", "status", "_done.valid", "_done.errors", "_done.json"
     )
+
+
+def carry_messages(linked: DataFrame, messages: DataFrame) -> DataFrame:
+    """``linked`` (of ``link_tool_calls``) and a row for each turn that is neither call nor result.
+
+    ``messages``: conv_id, position, role, content; other columns are ignored.
+    Such a row is an orphan without identifier and depth, is valid, and its
+    canonical JSON names its role (null if unknown) and content.  Repeated rows
+    are all carried.
+    """
+
+    @F.pandas_udf("string")
+    def plain(role: pd.Series, content: pd.Series) -> pd.Series:
+        texts = [[None if pd.isna(v) else v for v in pair] for pair in zip(role, content)]
+        return pd.Series([canonical_json({"content": c, "role": r, "status": "orphan"}) for r, c in texts], dtype=object)
+
+    none = {"call_id": "string", "depth": "long", "status": "string", "valid": "boolean", "errors": "array<string>"}
+    rows = messages.select(
+        "conv_id", "position", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()], plain("role", "content").alias("json")
+    ).withColumns({"status": F.lit("orphan"), "valid": F.lit(True), "errors": F.array().cast("array<string>")})
+    return linked.unionByName(rows)
