@@ -295,3 +295,12 @@ def test_every_turn_is_carried_once(spark, tmp_path):
         if r.status in ("linked", "early"):  # the answer stands in the row of its call
             got[r.conv_id, r.position + 1] += 1
     assert got == Counter((r.conv_id, r.turn) for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").collect())
+
+
+def test_shortened_licenses(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    short = ["All rights reserved.", "Copyright 2021 Some Firm. All rights reserved.", "No part of this work may be reproduced", "Permission is hereby granted, free of charge, to any person"]
+    extra = spark.createDataFrame([(9100 + k, f"Words before.\n{t}\nWords behind.") for k, t in enumerate(short)], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    found = licenses.scan_licenses(docs, licenses.train_licenses(docs)).where("confirmed and doc_id >= 9100").collect()
+    assert {(r.doc_id, r.position, r.family) for r in found} == {(9100 + k, 1, "MIT" if k == 3 else "Proprietary") for k in range(4)}

@@ -4,8 +4,7 @@ All of it is DataFrame and Spark ML code in the JVM.  Paragraphs (lines) become
 sparse vectors of hashed words and word pairs; a multinomial logistic regression
 with an ``unknown`` class names a family.  A second, one-variable regression on
 held-out rows turns its margin into a calibrated probability of being a licence
-text at all, and the share of a template's word pairs in the paragraph confirms
-the family.
+text at all, and the word pairs shared with a template confirm the family.
 """
 
 from __future__ import annotations
@@ -42,6 +41,19 @@ TEMPLATES = [
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0", "This work has been dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL", "GNU General Public License"),
+    ("LGPL", "GNU Lesser General Public License"),
+    ("AGPL", "GNU Affero General Public License"),
+    ("BSD", "BSD 3-Clause License"),
+    ("MPL", "Mozilla Public License"),
+    ("CC-BY", "CC BY 4.0"),
+    ("CC-BY-SA", "CC BY-SA 4.0"),
+    ("CC-BY-NC", "CC BY-NC 4.0"),
+    ("CC0", "CC0 1.0 Universal"),
+    ("Unlicense", "released into the public domain"),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
 ]
 
@@ -64,6 +76,12 @@ def pairs_of(words: Column) -> Column:
     )
 
 
+def shared_part(template: Column, own: Column) -> Column:
+    """Share of the statement's word pairs in the paragraph or, from three on, of the paragraph's in the statement."""
+    both = F.size(F.array_intersect(template, own))
+    return F.greatest(both / F.size(template), F.when(both >= 3, both / F.size(own)).otherwise(0.0))
+
+
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(family, template, template_pairs), one row for each statement."""
     rows = spark.createDataFrame([(f, t) for f, t in templates], "family string, template string")
@@ -109,7 +127,7 @@ class LicenseModel:
 
 
 def _variants(templates: DataFrame) -> DataFrame:
-    """Each statement as it is, with one word left out, and with words around it."""
+    """Each statement as it is, with one word left out, with words around it, and long ones cut in two at each word."""
     whole = templates.select("family", F.col("template").alias("paragraph"))
     words = F.split("template", " ")
     short = templates.select("family", F.posexplode(words).alias("k", "w"), words.alias("ws")).select(
@@ -125,7 +143,17 @@ def _variants(templates: DataFrame) -> DataFrame:
             )
         ).alias("paragraph"),
     )
-    return whole.unionByName(short).unionByName(around)
+    cut = templates.select("family", words.alias("ws"), F.explode(F.sequence(F.lit(4), F.greatest(F.size(words) - 4, F.lit(4)))).alias("k"))
+    parts = cut.where(F.size("ws") >= 8).select(
+        "family",
+        F.explode(
+            F.array(
+                F.array_join(F.slice("ws", 1, F.col("k")), " "),
+                F.array_join(F.slice("ws", F.col("k") + 1, F.greatest(F.size("ws") - F.col("k"), F.lit(0))), " "),
+            )
+        ).alias("paragraph"),
+    )
+    return whole.unionByName(short).unionByName(around).unionByName(parts)
 
 
 def train_licenses(
@@ -139,8 +167,8 @@ def train_licenses(
     """Fit on variants of the templates against a sample of the corpus.
 
     About ``sample_paragraphs`` paragraphs chosen by hash stand for ``unknown``;
-    those that have a third of any template's word pairs are left out of the
-    sample.  A quarter of all rows is held out for the calibration.  On an empty
+    those that have a third of any template's word pairs, or three pairs of it as
+    a third of their own, are left out of the sample.  A quarter of all rows is held out for the calibration.  On an empty
     corpus a few template-free words stand for ``unknown``.
     """
     spark = docs.sparkSession
@@ -153,7 +181,7 @@ def train_licenses(
     statements = F.array(*[F.array_distinct(pairs_of(words_of(F.lit(t)))) for _, t in templates])
     likeness = (
         some.withColumn("_own", F.array_distinct(pairs_of(words_of(F.col("paragraph")))))
-        .where(~F.exists(statements, lambda t: F.size(F.array_intersect(t, F.col("_own"))) * 3 >= F.size(t)))
+        .where(~F.exists(statements, lambda t: shared_part(t, F.col("_own")) * 3 >= 1))
         .select(F.lit(UNKNOWN).alias("family"), "paragraph")
     )
     spare = spark.createDataFrame([(UNKNOWN, t) for t in ("nothing to see", "lorem ipsum dolor", "one two three")], "family string, paragraph string")
@@ -196,7 +224,8 @@ def scan_licenses(
     ``position`` counts lines from 0.  A paragraph is given when its calibrated
     probability reaches ``min_probability``; ``template`` is the most similar
     statement of the family found, and ``confirmed`` tells whether it shares
-    ``min_similarity`` of the statement's word pairs.  Null, empty and blank
+    ``min_similarity`` of the statement's word pairs or of its own, so shortened
+    and wrapped statements count.  Null, empty and blank
     texts give no rows; rows with a null or repeated id are scanned like others.
     """
     # one row for each family of the fixed templates
@@ -215,7 +244,7 @@ def scan_licenses(
     likeness = F.transform(
         "statements",
         lambda s: F.struct(
-            (F.size(F.array_intersect(s["template_pairs"], F.col("_own"))) / F.size(s["template_pairs"])).alias("similarity"),
+            shared_part(s["template_pairs"], F.col("_own")).alias("similarity"),
             s["template"].alias("template"),
         ),
     )
