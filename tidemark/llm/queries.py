@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embeddings, licenses, lines, mixing, quality, simhash, tokens, toolcalls, urls
+from tidemark.llm import (
+    bytepairs,
+    decontaminate,
+    embeddings,
+    licenses,
+    lines,
+    mixing,
+    quality,
+    simhash,
+    spelling,
+    tokens,
+    toolcalls,
+    urls,
+)
 from tidemark.llm.registry import query, table
 from tidemark.session import scratch_folder
 
@@ -124,3 +137,23 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, licenses.train_licenses(docs))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    words = spelling.count_words(table(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_byte_pairs")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bytepairs.encode_texts(table(spark, sf_dir, "documents"), ranks)
+    return bytepairs.decode_texts(encoded, ranks).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
