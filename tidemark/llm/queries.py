@@ -11,6 +11,7 @@ from tidemark.llm import (
     licenses,
     lines,
     mixing,
+    prefix_trie,
     quality,
     simhash,
     spelling,
@@ -145,6 +146,30 @@ def op11(spark, sf_dir):
     return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def rebuilt_turns(turns):
+    """Turns of conversations that share beginnings: the first h of conversation c - c % 5, then the own ones behind h.
+
+    h is crc32 of the decimal id, modulo 9.  ``turns``: of ``numbered_turns``.
+    """
+    shared = F.crc32(F.col("conv_id").cast("string")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    begins = turns.where("place <= 8")
+    lengths = begins.groupBy(F.col("conv_id").alias("base")).agg(F.count(F.lit(1)).alias("length"))
+    convs = turns.select("conv_id", base.alias("base"), shared.alias("h")).distinct()
+    convs = convs.join(lengths, "base", "left").withColumn("taken", F.least("h", F.coalesce("length", F.lit(0))))
+    first = convs.select("conv_id", "base", "taken").join(begins.withColumnRenamed("conv_id", "base"), "base")
+    first = first.where(F.col("place") <= F.col("taken")).select("conv_id", "place", "role", "text")
+    own = turns.where(F.col("place") > shared).join(convs.select("conv_id", "h", "taken"), "conv_id")
+    own = own.select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "role", "text")
+    return first.unionByName(own), convs.select("conv_id")
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf_dir):
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*rebuilt_turns(turns))
+
+
 @query("op13_byte_pairs")
 def op13(spark, sf_dir):
     import public_tokenizers
