@@ -17,7 +17,6 @@ Spark can write; beside the chunk stand the ids and lengths of its documents.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -31,21 +30,50 @@ from pyspark.sql import functions as F
 
 _HEAD = struct.Struct("<4sB3xIQI")
 _MAGIC = b"TKP1"
-# white space of the tokenizer's word pattern; text is cut before a blank or a
-# line break that follows anything else, which is always a word boundary
-_SPACE = "\t-\r \x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNSAFE = re.compile(f"[{_SPACE}][ \n]").search
+# white space of the tokenizer's word pattern
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_IS_SPACE = np.zeros(0x3002, bool)
+_IS_SPACE[[ord(c) for c in _SPACE]] = True
+
+
+def pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All texts cut before white space that follows anything else, and how many pieces each has.
+
+    A word of the tokenizer's pattern holds white space at its start only, or is
+    white space throughout, so such a place is always a word boundary and what
+    stands behind it is split alike with or without what stands before.
+    """
+    raw = "".join(texts)
+    points = np.frombuffer(raw.encode("utf-32-le"), "<u4")
+    n, ends = len(points), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    if n == 0:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    space = _IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)]
+    starts = np.zeros(n, bool)
+    starts[1:] = space[1:] & ~space[:-1]
+    starts[0] = True
+    starts[ends[ends < n]] = True
+    places = np.flatnonzero(starts)
+    counts = np.diff(np.searchsorted(places, np.append(0, ends)))
+    utf8 = raw.encode()
+    if len(utf8) > n:
+        width = np.ones(n, np.int8)
+        for least in (0x80, 0x800, 0x10000):
+            width += points >= least
+        places = (np.cumsum(width, dtype=np.int64) - width)[places]
+    # a batch of texts is far below 2 GB
+    offsets = np.append(places, len(utf8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.utf8(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(utf8)]), counts
 
 
 class Encoder:
     """Byte-level BPE of whole texts by the tokenizers library, with a cache of words.
 
-    The ids of a text are the ids of its words in turn, because the word pattern
-    never joins what stands before a single blank or line break with what
-    follows.  Texts with longer runs of white space go to the library whole.
+    The ids of a text are the ids of its pieces in turn (see ``pieces``); each
+    distinct piece goes to the library once while it is cached.
     """
 
-    def __init__(self, path: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, max_cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,9 +81,6 @@ class Encoder:
         self._cache: dict[str, bytes] = {}
         self._max = max_cached
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _learn(self, words: Iterable[str]) -> None:
         words = list(words)
         for at in range(0, len(words), 20_000):
@@ -70,22 +95,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian u32 ids of each text; null counts as empty."""
-        cut: list = []
-        for text in texts:
-            text = text or ""
-            if _UNSAFE(text):
-                cut.append(text)
-            else:
-                # a piece keeps the blank or line break before it
-                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else text)
-        missing = set().union(*(c for c in cut if type(c) is list)) - self._cache.keys()
+        words, per_text = pieces([text or "" for text in texts])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        missing = [w for w in distinct if w not in self._cache]
         if len(self._cache) + len(missing) > self._max:
             self._cache.clear()
-            missing = set().union(*(c for c in cut if type(c) is list))
-        self._learn(missing - {""})
-        self._cache[""] = b""
-        get = self._cache.__getitem__
-        return [b"".join(map(get, c)) if type(c) is list else self._whole(c) for c in cut]
+            missing = distinct
+        self._learn(missing)
+        codes = list(map(self._cache.__getitem__, distinct))
+        counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat, first = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(counts) - counts
+        at = coded.indices.to_numpy()
+        many = counts[at]
+        stops = np.cumsum(many)
+        # the j-th id of a text is the flat id of its piece, moved on within the piece
+        ids = flat[np.arange(int(many.sum())) + np.repeat(first[at] - (stops - many), many)]
+        edges = np.append(0, stops)[np.append(0, np.cumsum(per_text))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -204,9 +231,10 @@ def write_token_files(
             yield close()
 
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+        .repartitionByRange("doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash")
+        .select("doc_id", "text")
         .mapInArrow(run, CHUNK_SCHEMA)
         .write.parquet(path)
     )
@@ -247,6 +275,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     docs = chunks.select("shard", "first_id", "doc_ids", "doc_lengths", "payload").mapInArrow(
         run, "shard int, doc_id long, within long, n_tokens long, ids binary"
     )
+    # one row of 16 bytes for each shard: beyond 32 MB the ids are shuffled instead
+    if totals.count() <= 2_000_000:
+        offsets = F.broadcast(offsets)
     return docs.join(offsets, "shard").select(
         "doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids"
     )
