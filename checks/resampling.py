@@ -11,13 +11,15 @@ from checks.registry import query, tidy
 from checks.review import REVIEW, _CKP, _allocate, SCENARIOS
 from checks.trajectories import DECISION, EPIS, TRAJ, _FSD, _STATE, _full, _traj
 from tidemark.operators import audit as Au
+from tidemark.operators import bootstrap as Bo
 from tidemark.operators import drift as Dr
 from tidemark.operators import resampling as Rs
 from tidemark.operators import review as R
 from tidemark.operators.holdout import common_cohort
 from tidemark.schema import ENTITY_KEYS
 
-B = 20
+B = 1000
+B5 = 20  # samples of the queue's intervals
 
 
 def index_sql(name: str, source: str, keys: list[str], by: list[str], seed: int = 42) -> str:
@@ -29,19 +31,31 @@ def index_sql(name: str, source: str, keys: list[str], by: list[str], seed: int
 def draw_sql(name: str, indexed: str, by: list[str], seed: int = 42) -> str:
     md = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in by], "CAST(b AS VARCHAR)", "CAST(idx AS VARCHAR)"])
     cols = "".join(f"{k}, " for k in by)
-    return f"{name} AS (SELECT {cols}b AS sample, CAST(('0x' || substr(md5({md}), 1, 15)) AS BIGINT) % n_ AS idx FROM {indexed}, range({B}) r(b))"
+    return f"{name} AS (SELECT {cols}b AS sample, CAST(('0x' || substr(md5({md}), 1, 15)) AS BIGINT) % n_ AS idx FROM {indexed}, range({B5}) r(b))"
 
 
-def interval_sel(keys: str, source: str) -> str:
+def weight_sql(name: str, source: str, keys: list[str], seed: int = 42) -> str:
+    """``name`` (keys, sample, w): Poisson weights of the distinct units of ``source``, zero weights left out."""
+    k = ", ".join(keys)
+    md = " || '|' || ".join([f"'{seed}'", *[f"CAST({c} AS VARCHAR)" for c in keys]])
+    u = "CAST({} AS UBIGINT)".format
+    limits = " + ".join(f"CAST(x >= {limit} AS INTEGER)" for limit in Bo.LIMITS)
+    mixed = f"SELECT {k}, b, (CAST(('0x' || substr(md5({md}), 1, 8)) AS UBIGINT) + {u('b + 1')} * {u(Bo.STEP)}) % {u(2**32)} AS x FROM (SELECT DISTINCT {k} FROM {source}), range({B}) r(b)"
+    for shift, factor in ((16, Bo.MULTIPLY[0]), (15, Bo.MULTIPLY[1]), (16, 1)):
+        mixed = f"SELECT {k}, b, (xor(x, x >> {shift}) * {u(factor)}) % {u(2**32)} AS x FROM ({mixed})"
+    return f"{name} AS MATERIALIZED (SELECT * FROM (SELECT {k}, b AS sample, {limits} AS w FROM ({mixed})) WHERE w > 0)"
+
+
+def interval_sel(keys: str, source: str, samples: int = B) -> str:
     k = f"{keys}, " if keys else ""
-    return f"SELECT {k}{rd('quantile_cont(value, 0.025)', 'lower_95')}, {rd('quantile_cont(value, 0.975)', 'upper_95')}, count(value) AS valid_samples, {B} - count(value) AS skipped_samples FROM {source} GROUP BY ALL"
+    return f"SELECT {k}{rd('quantile_cont(value, 0.025)', 'lower_95')}, {rd('quantile_cont(value, 0.975)', 'upper_95')}, count(value) AS valid_samples, {samples} - count(value) AS skipped_samples FROM {source} GROUP BY ALL"
 
 
-_K1 = PRED + """cc AS (SELECT entity FROM pred WHERE unit = 'M0' AND period = 'P0' GROUP BY ALL HAVING count(*) = 4 AND count(DISTINCT observation_day) = 4),
-co AS (SELECT p.* FROM pred p JOIN cc USING (entity) WHERE unit = 'M0' AND period = 'P0'), """ + index_sql("ix", "cc", ["entity"], []) + ", " + draw_sql("dr", "ix", []) + f"""
-, bs AS (SELECT d.sample, p.observation_day, p.calibrated_output AS s, p.actual_label AS y FROM dr d JOIN ix USING (idx) JOIN co p USING (entity)),
-cf AS (SELECT sample, observation_day, count(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp, count(*) FILTER (WHERE y = 1 AND s < 0.5) AS fn, sum(y) AS pos, count(*) - sum(y) AS neg FROM bs GROUP BY ALL),
-g AS (SELECT sample, observation_day, s, sum(y) AS p, count(*) - sum(y) AS q FROM bs GROUP BY ALL),
+_K1 = PRED + """cc AS (SELECT unit, period, entity FROM pred GROUP BY ALL HAVING count(*) = 4 AND count(DISTINCT observation_day) = 4),
+co AS (SELECT p.* FROM pred p JOIN cc USING (unit, period, entity)), """ + weight_sql("wt", "cc", ["entity"]) + f"""
+, bs AS (SELECT sample, observation_day, calibrated_output AS s, actual_label AS y, w FROM wt JOIN co USING (entity)),
+cf AS (SELECT sample, observation_day, coalesce(sum(w) FILTER (WHERE y = 1 AND s >= 0.5), 0) AS tp, coalesce(sum(w) FILTER (WHERE y = 0 AND s >= 0.5), 0) AS fp, coalesce(sum(w) FILTER (WHERE y = 1 AND s < 0.5), 0) AS fn FROM bs GROUP BY ALL),
+g AS (SELECT sample, observation_day, s, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM bs GROUP BY ALL),
 cu AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(q) OVER (PARTITION BY sample, observation_day) AS tq, sum(p) OVER (PARTITION BY sample, observation_day) AS tp_ FROM g WINDOW w AS (PARTITION BY sample, observation_day ORDER BY s DESC)),
 rk AS (SELECT sample, observation_day, sum(p * (tq - cq + q / 2.0)) / (any_value(tq) * any_value(tp_)) AS roc_auc, sum(p * cp / (cp + cq)) / any_value(tp_) AS average_precision FROM cu GROUP BY ALL HAVING any_value(tq) > 0 AND any_value(tp_) > 0),
 al_ AS (SELECT sample, observation_day, roc_auc, average_precision, {zero_div('tp', 'tp + fp')} AS precision, {zero_div('tp', 'tp + fn')} AS recall, {zero_div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cf LEFT JOIN rk USING (sample, observation_day)),
@@ -51,8 +65,8 @@ lv AS ({' UNION ALL '.join(f"SELECT sample, observation_day, '{m}' AS metric, CA
 
 @query("k01_day_metric_intervals", _K1 + interval_sel("observation_day, metric", "lv"))
 def day_intervals(spark, sf):
-    p = A.saved_predictions(spark, sf).where("unit = 'M0' AND period = 'P0'")
-    return tidy(Rs.day_metric_intervals(common_cohort(p, A.OBS), samples=B))
+    cohort = common_cohort(A.saved_predictions(spark, sf), A.OBS, ENTITY_KEYS)
+    return tidy(Rs.day_metric_intervals(cohort, samples=B))
 
 
 _K2V = {
@@ -65,8 +79,8 @@ _K2 = (
     + """, su AS (SELECT * FROM gm WHERE supported AND threshold_policy = 'f1_focused'),
 es AS (SELECT l.observation_day, l.attribute, l.grp, l.entity, count(*) AS n, sum(actual_label) AS pos, sum(f1_focused_prediction) AS wn, sum(actual_label * f1_focused_prediction) AS tp, sum((1 - actual_label) * f1_focused_prediction) AS fp,
  sum((1 - actual_label) * (1 - f1_focused_prediction)) AS tn, sum((calibrated_output - actual_label) ** 2) AS sq FROM lg l SEMI JOIN su USING (observation_day, attribute, grp) GROUP BY ALL), """
-    + index_sql("ix", "es", ["entity"], _SL) + ", " + draw_sql("dr", "ix", _SL)
-    + """, bs AS (SELECT observation_day, attribute, grp, sample, sum(n) AS n, sum(pos) AS pos, sum(wn) AS wn, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(sq) AS sq FROM dr JOIN ix USING (observation_day, attribute, grp, idx) GROUP BY ALL),
+    + weight_sql("wt", "es", ["entity"])
+    + """, bs AS (SELECT observation_day, attribute, grp, sample, sum(n * w) AS n, sum(pos * w) AS pos, sum(wn * w) AS wn, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(tn * w) AS tn, sum(sq * w) AS sq FROM wt JOIN es USING (entity) GROUP BY ALL),
 lv AS (""" + " UNION ALL ".join(
         f"SELECT b.observation_day, b.attribute, b.grp, b.sample, '{m}' AS metric, {e} AS value FROM (SELECT bs.* FROM bs JOIN su USING (observation_day, attribute, grp) WHERE su.{m} IS NOT NULL) b"
         for m, e in _K2V.items()
@@ -88,7 +102,7 @@ def group_intervals(spark, sf):
 def _strategy_long(draws: str, skip: bool) -> str:
     """Per-sample strategy values from drawn trajectories ``dt``."""
     where = "WHERE observation_day > 10" if skip else ""
-    return f"""sb AS (SELECT d.sample, s.observation_day, s.strategy, sum(s.actual_label * s.decision) AS tp, sum((1 - s.actual_label) * s.decision) AS fp, sum(s.actual_label * (1 - s.decision)) AS fn FROM {draws} d JOIN sd s USING (unit, period, entity) GROUP BY ALL),
+    return f"""sb AS (SELECT d.sample, s.observation_day, s.strategy, sum(d.w * s.actual_label * s.decision) AS tp, sum(d.w * (1 - s.actual_label) * s.decision) AS fp, sum(d.w * s.actual_label * (1 - s.decision)) AS fn FROM {draws} d JOIN sd s USING (unit, period, entity) GROUP BY ALL),
 sx AS (SELECT *, max(CASE WHEN strategy = 'single' THEN fp END) OVER w - fp AS fpp, max(CASE WHEN strategy = 'single' THEN tp END) OVER w - tp AS tpl FROM sb WINDOW w AS (PARTITION BY sample, observation_day)),
 sl AS (""" + " UNION ALL ".join(
         f"SELECT sample, strategy, CAST(observation_day AS BIGINT) AS observation_day, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM sx {where}"
@@ -96,11 +110,16 @@ sl AS (""" + " UNION ALL ".join(
     ) + ")"
 
 
+def _in(condition: str) -> str:
+    """Weight of the rows that meet a condition."""
+    return f"coalesce(sum(w) FILTER (WHERE {condition}), 0)"
+
+
 _NULLS = "CAST(NULL AS VARCHAR) AS strategy, CAST(NULL AS BIGINT) AS observation_day"
 _K3 = (
-    _STATE + index_sql("ix", "traj", ENTITY_KEYS, []) + ", " + draw_sql("dr", "ix", [])
-    + ", dt AS (SELECT d.sample, ix.* FROM dr d JOIN ix USING (idx)), " + _strategy_long("dt", True)
-    + f""", pv AS (SELECT sample, {safe_div('count(*) FILTER (WHERE persistent_warning)', 'count(*) FILTER (WHERE warning_count > 0)')} AS a, avg(CAST(warning_reversals > 0 AS INTEGER)) AS b, avg(CAST(recurrent_warning AS INTEGER)) AS c FROM dt GROUP BY ALL),
+    _STATE + weight_sql("wt", "traj", ENTITY_KEYS)
+    + ", dt AS (SELECT sample, w, traj.* FROM wt JOIN traj USING (unit, period, entity)), " + _strategy_long("dt", True)
+    + f""", pv AS (SELECT sample, {safe_div(_in('persistent_warning'), _in('warning_count > 0'))} AS a, {_in('warning_reversals > 0')} / sum(w) AS b, {_in('recurrent_warning')} / sum(w) AS c FROM dt GROUP BY ALL),
 lv AS (SELECT strategy, observation_day, metric, value FROM sl UNION ALL SELECT {_NULLS}, 'warning_persistence_rate', a FROM pv UNION ALL SELECT {_NULLS}, 'warning_reversal_rate', b FROM pv UNION ALL SELECT {_NULLS}, 'recurrent_warning_rate', c FROM pv)
 """
 )
@@ -111,32 +130,29 @@ def trajectory_intervals(spark, sf):
     return tidy(Rs.trajectory_intervals(_traj(spark, sf), A.OBS, samples=B))
 
 
-def _wmed(draws: str, source: str, keys: str, by: str, name: str) -> str:
-    return f"""{name}g AS (SELECT d.sample, {by}, v.value, count(*) AS w FROM {draws} d JOIN {source} v USING ({keys}) WHERE v.value IS NOT NULL GROUP BY ALL),
+def _wmed(draws: str, source: str, keys: str, by: str, name: str, weight: str = "count(*)") -> str:
+    return f"""{name}g AS (SELECT d.sample, {by}, v.value, {weight} AS w FROM {draws} d JOIN {source} v USING ({keys}) WHERE v.value IS NOT NULL GROUP BY ALL),
 {name}c AS (SELECT *, sum(w) OVER (PARTITION BY sample, {by} ORDER BY value) AS c, sum(w) OVER (PARTITION BY sample, {by}) AS t FROM {name}g),
 {name} AS (SELECT sample, {by}, CAST(min(value) AS DOUBLE) AS value FROM {name}c WHERE c >= t / 2 GROUP BY ALL)"""
 
 
 def _k4(unit: str, keys: list[str]) -> str:
     strict = unit == "strict_student_id"
-    units = "traj" if not strict else "(SELECT DISTINCT entity FROM traj)"
     join = "unit, period, entity" if not strict else "entity"
-    plain = {f"first_warning_day_{d}": f"avg(CAST(coalesce(first_warning_day = {d}, false) AS INTEGER))" for d in A.OBS}
-    plain["never_warned"] = "avg(CAST(never_warned AS INTEGER))"
+    plain = {f"first_warning_day_{d}": f"{_in(f'first_warning_day = {d}')} / sum(w)" for d in A.OBS}
+    plain["never_warned"] = f"{_in('never_warned')} / sum(w)"
     if strict:
         plain |= {
-            "persistence": safe_div("count(*) FILTER (WHERE persistent_warning)", "count(*) FILTER (WHERE warning_count > 0)"),
-            "reversal": "avg(CAST(warning_reversals > 0 AS INTEGER))",
-            "recurrence": "avg(CAST(recurrent_warning AS INTEGER))",
+            "persistence": safe_div(_in("persistent_warning"), _in("warning_count > 0")),
+            "reversal": f"{_in('warning_reversals > 0')} / sum(w)",
+            "recurrence": f"{_in('recurrent_warning')} / sum(w)",
         }
     p = "s" if strict else "t"
     parts = [
-        index_sql(f"ix{p}", units, keys, []),
-        draw_sql(f"dr{p}", f"ix{p}", []),
-        f"du{p} AS (SELECT d.sample, {', '.join('i.' + k for k in keys)} FROM dr{p} d JOIN ix{p} i USING (idx))",
-        f"dt{p} AS (SELECT d.sample, t.* FROM du{p} d JOIN traj t USING ({join}))",
+        weight_sql(f"wt{p}", "traj", keys),
+        f"dt{p} AS (SELECT d.sample, d.w, t.* FROM wt{p} d JOIN traj t USING ({join}))",
         f"pv{p} AS (SELECT sample, {', '.join(f'{e} AS {m}' for m, e in plain.items())} FROM dt{p} GROUP BY ALL)",
-        _wmed(f"dt{p}", "dv", "unit, period, entity", "strategy, metric", f"wm{p}"),
+        _wmed(f"dt{p}", "dv", "unit, period, entity", "strategy, metric", f"wm{p}", "sum(d.w)"),
     ]
     union = " UNION ALL ".join(f"SELECT {_NULLS}, '{m}' AS metric, {m} AS value FROM pv{p}" for m in plain)
     union += f" UNION ALL SELECT strategy, NULL, metric, value FROM wm{p}"
@@ -191,7 +207,7 @@ dv AS (SELECT sid, unit, period, entity, 'median_review_delay' AS metric, review
   UNION ALL SELECT sid, unit, period, entity, 'median_useful_lead_time', CASE WHEN review_day < episode_start_day THEN episode_start_day - review_day END FROM cs SEMI JOIN pick USING (sid) WHERE review_day IS NOT NULL), """
     + _k5("student_course_trajectory", ENTITY_KEYS) + ", " + _k5("student_id", ["entity"])
     + ", un AS (SELECT sid AS scenario_id, * EXCLUDE (sid) FROM lvt UNION ALL SELECT sid, * EXCLUDE (sid) FROM lvs) SELECT * FROM ("
-    + interval_sel("bootstrap_unit, scenario_id, metric", "un") + ") WHERE valid_samples > 0"
+    + interval_sel("bootstrap_unit, scenario_id, metric", "un", B5) + ") WHERE valid_samples > 0"
 )
 
 
@@ -202,7 +218,7 @@ def workload_intervals(spark, sf):
 
     rows = events(spark, sf)
     out = workload_comparison(rows, SCENARIOS, A.OBS, A.STEP)
-    return tidy(Rs.workload_intervals(out["cases"], rows, out["scenarios"], samples=B))
+    return tidy(Rs.workload_intervals(out["cases"], rows, out["scenarios"], samples=B5))
 
 
 # ---------------------------------------------------------------- drift

@@ -15,12 +15,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import exact_quantiles
 from tidemark.functions.scalars import clamp01, inverse_logit, logit
+from tidemark.operators import calibration as Ca
 from tidemark.operators.drift import long_features
 from tidemark.operators.holdout import grouped_folds
 from tidemark.schema import CHANGE_FEATURES, check_feature_names
@@ -162,7 +162,7 @@ class Calibrator:
     method: str
     slope: float = 0.0
     intercept: float = 0.0
-    isotonic: object | None = None
+    isotonic: DataFrame | None = None  # blocks of the step function
 
     def apply(self, rows: DataFrame, score: str, out: str = "calibrated_output") -> DataFrame:
         if self.method == "uncalibrated":
@@ -171,8 +171,7 @@ class Calibrator:
             x = logit(F.col(score)) if self.method == "sigmoid" else F.col(score)
             value = inverse_logit(F.lit(self.intercept) + F.lit(self.slope) * x)
             return rows.withColumn(out, clamp01(value))
-        mapped = self.isotonic.transform(rows.withColumn("ml_score", F.col(score)))
-        return mapped.withColumn(out, clamp01(F.col("ml_prediction"))).drop("ml_score", "ml_prediction")
+        return Ca.apply_isotonic(rows, [], score, self.isotonic, out)
 
 
 def fit_calibrator(method: str, rows: DataFrame, score: str, label: str) -> Calibrator:
@@ -184,10 +183,7 @@ def fit_calibrator(method: str, rows: DataFrame, score: str, label: str) -> Cali
         m = _one_feature(rows, x, label, penalised=True)
         return Calibrator(method, float(m.coefficients[0]), float(m.intercept))
     if method == "isotonic":
-        model = IsotonicRegression(
-            featuresCol="ml_score", labelCol=_LABEL, predictionCol="ml_prediction"
-        ).fit(rows.select(F.col(score).alias("ml_score"), F.col(label).cast("double").alias(_LABEL)))
-        return Calibrator(method, isotonic=model)
+        return Calibrator(method, isotonic=cut_lineage(Ca.isotonic_blocks(rows, [], score, label)))
     raise ValueError(f"unknown calibration method {method}")
 
 

@@ -1,8 +1,8 @@
-"""Cluster bootstrap with draws that every SQL engine reproduces.
+"""Bootstrap intervals that every SQL engine reproduces.
 
-A sample draws ``n`` of ``n`` units with replacement; draw ``j`` of sample ``b``
-is ``md5(seed, slice, b, j) mod n``.  Statistics are summed per unit first, so a
-bootstrap moves samples x units slim rows, never samples x rows.
+Units weigh in by independent Poisson(1) weights (see ``bootstrap``), which stand
+in for draws of n of n units: only the number of draws varies, and all measures
+here are rates or counts per sample.  Statistics are summed per unit first.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import dense_index
 from tidemark.functions.scalars import hash_int, ratio
-from tidemark.operators.metrics import ranking_metrics, zero_rates
+from tidemark.operators.bootstrap import ranking_samples, weighted_sums
 from tidemark.operators.trajectories import (
     CONFIRMING,
     STRATEGIES,
@@ -43,16 +43,6 @@ def _join_units(draws: DataFrame, units: DataFrame, keys: list[str]) -> DataFram
     return draws.join(units, keys)
 
 
-def resampled_sums(
-    stats: DataFrame, keys: Sequence[str], by: Sequence[str], columns: Sequence[str], samples: int, seed: int = 42
-) -> DataFrame:
-    """Sums of ``columns`` over drawn units, per slice and sample."""
-    by = list(by)
-    indexed = cut_lineage(dense_index(stats.select(*by, *keys, *columns), keys, by, seed))
-    joined = _join_units(_draws(indexed, by, samples, seed), indexed.select(*by, "idx", *columns), [*by, "idx"])
-    return joined.groupBy(*by, "sample").agg(*[F.sum(c).alias(c) for c in columns])
-
-
 def resampled_weights(units: DataFrame, keys: Sequence[str], by: Sequence[str], samples: int, seed: int = 42) -> DataFrame:
     """Multiplicity ``w`` of each drawn unit per sample (undrawn units are absent)."""
     by = list(by)
@@ -97,13 +87,19 @@ def day_metric_intervals(
 
     Samples whose day holds one class only are skipped and counted.
     """
-    weights = resampled_weights(predictions.select(*key).distinct(), key, [], samples, seed)
-    rows = predictions.select(*key, "observation_day", score, label).join(weights, list(key))
-    by = ["sample", "observation_day"]
-    report = zero_rates(ranking_metrics(rows, by, score, label, threshold, weight="w"))
+    report = ranking_samples(predictions, key, ["observation_day"], score, label, threshold, samples, seed)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    zero = lambda value: F.coalesce(value, F.lit(0.0))
+    values = {
+        "average_precision": F.col("average_precision"),
+        "roc_auc": F.col("roc_auc"),
+        "recall": zero(ratio(tp, tp + fn)),
+        "precision": zero(ratio(tp, tp + fp)),
+        "f1": zero(ratio(2 * tp, 2 * tp + fp + fn)),
+    }
     both = F.col("roc_auc").isNotNull()
-    metrics = {m: F.when(both, F.col(m)) for m in ("average_precision", "roc_auc", "recall", "precision", "f1")}
-    return intervals(_long(report, by, metrics), ["observation_day", "metric"], samples)
+    metrics = {m: F.when(both, v) for m, v in values.items()}
+    return intervals(_long(report, ["observation_day"], metrics), ["observation_day", "metric"], samples)
 
 
 _GROUP_SUMS = ["n", "pos", "warned", "tp", "fp", "fn", "tn", "square"]
@@ -140,7 +136,7 @@ def group_intervals(
         )
         .join(wanted.select(*slices), slices, "left_semi")
     )
-    sums = resampled_sums(stats, ["entity"], slices, _GROUP_SUMS, samples, seed)
+    sums = weighted_sums(stats, ["entity"], slices, _GROUP_SUMS, samples, seed)
     values = {
         "outcome_prevalence": ratio(F.col("pos"), F.col("n")),
         "warning_rate": ratio(F.col("warned"), F.col("n")),
@@ -243,18 +239,15 @@ _STABILITY = {
 def trajectory_intervals(trajectories: DataFrame, days: Sequence[int], samples: int = 1000, seed: int = 42) -> DataFrame:
     """Intervals of stability rates and strategy outcomes, resampling trajectories."""
     stats, columns, pairs = _trajectory_sums(trajectories, days)
-    sums = resampled_sums(stats, ENTITY_KEYS, [], columns, samples, seed)
+    sums = weighted_sums(stats, ENTITY_KEYS, [], columns, samples, seed)
     plain = _plain_values({n: ratio(F.col(a), F.col(b)) for n, (a, b) in _STABILITY.items()})
     both = F.concat(plain, _strategy_values(pairs, days, skip_first=True))
     long = sums.select("sample", F.explode(both).alias("v")).select("sample", "v.*")
     return intervals(long, ["strategy", "observation_day", "metric"], samples)
 
 
-def _median_values(units: DataFrame, weights: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Weighted lower medians per sample of whole-day values (few distinct)."""
-    counted = units.join(weights, list(keys)).where("value IS NOT NULL").groupBy("sample", *by, "value").agg(
-        F.sum("w").alias("w")
-    )
+def _lower_medians(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Weighted lower medians per sample of whole-day values (few distinct), from their weights ``w``."""
     part = W.partitionBy("sample", *by)
     upto = F.sum("w").over(part.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("w").over(part)
@@ -266,6 +259,14 @@ def _median_values(units: DataFrame, weights: DataFrame, keys: Sequence[str], by
     )
 
 
+def _median_values(units: DataFrame, weights: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Weighted lower medians per sample of ``value``, with a table of weights."""
+    counted = units.join(weights, list(keys)).where("value IS NOT NULL").groupBy("sample", *by, "value").agg(
+        F.sum("w").alias("w")
+    )
+    return _lower_medians(counted, by)
+
+
 def reporting_intervals(trajectories: DataFrame, days: Sequence[int], samples: int = 1000, seed: int = 42) -> DataFrame:
     """Reporting estimates resampled by trajectory and by entity across courses."""
     stats, columns, pairs = _trajectory_sums(trajectories, days)
@@ -290,7 +291,7 @@ def reporting_intervals(trajectories: DataFrame, days: Sequence[int], samples: i
     results = []
     for unit, keys in (("student_course_trajectory", ENTITY_KEYS), ("strict_student_id", ["entity"])):
         per_unit = stats if keys == ENTITY_KEYS else stats.groupBy("entity").agg(*[F.sum(c).alias(c) for c in columns])
-        sums = resampled_sums(per_unit, keys, [], columns, samples, seed)
+        sums = weighted_sums(per_unit, keys, [], columns, samples, seed)
         values = dict(shares)
         if unit == "strict_student_id":
             values |= {
@@ -302,8 +303,10 @@ def reporting_intervals(trajectories: DataFrame, days: Sequence[int], samples: i
         if unit == "strict_student_id":
             every = F.concat(every, _strategy_values(pairs, days, skip_first=False))
         long = sums.select("sample", F.explode(every).alias("v")).select("sample", "v.*")
-        weights = resampled_weights(per_unit, keys, [], samples, seed)
-        medians = _median_values(by_day, weights, keys, ["strategy", "metric"]).withColumn(
+        counted = weighted_sums(
+            by_day.where("value IS NOT NULL").withColumn("w", F.lit(1)), keys, ["strategy", "metric", "value"], ["w"], samples, seed
+        )
+        medians = _lower_medians(counted.where("w > 0"), ["strategy", "metric"]).withColumn(
             "observation_day", F.lit(None).cast("int")
         )
         both = long.unionByName(medians.select(*long.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import decision, fixed_rule
+from tidemark.operators import calibration as Ca
 from tidemark.operators import explain as Ex
 from tidemark.operators import holdout as H
 from tidemark.operators import metrics as X
@@ -236,30 +237,44 @@ def calibration_experiment(
         train = cut_lineage(train)
         assignment, count, _ = H.grouped_folds(train, LABEL, inner_folds, seed)
         oof, _ = Mo.out_of_fold_scores(train, assignment, count, features, LABEL, "base_model_score", parallel=1)
-        oof = cut_lineage(oof)
         final = Mo.fit_base_model(train, features, LABEL)
         tested = Mo.apply_base_model(final, test, "base_model_score")
-        fitted = {m: Mo.fit_calibrator(m, oof, "base_model_score", LABEL) for m in methods}
-        tag = lambda df, m: df.withColumns({"calibration_method": F.lit(m), "outer_holdout_id": F.lit(holdout)})
-        keep = [*OBSERVATION_KEYS, LABEL, "base_model_score", "calibrated_output", "calibration_method", "outer_holdout_id"]
-        inner = Mo.union_all([tag(c.apply(oof, "base_model_score"), m).select(*keep) for m, c in fitted.items()])
-        outer = Mo.union_all([tag(c.apply(tested, "base_model_score"), m).select(*keep) for m, c in fitted.items()])
-        return inner, outer
+        keep = [*OBSERVATION_KEYS, LABEL, "base_model_score"]
+        tag = lambda df: df.select(*keep, F.lit(holdout).alias("outer_holdout_id"))
+        return tag(oof), tag(tested)
 
     done = Mo.each(sorted(jobs), run, parallel)
-    slices = ["observation_day", "outer_holdout_id", "calibration_method"]
-    inner = cut_lineage(Mo.union_all([a for a, _ in done]))
-    outer = cut_lineage(Mo.union_all([b for _, b in done]))
+    holdout_slice = ["observation_day", "outer_holdout_id"]
+    scored = [cut_lineage(Mo.union_all(part)) for part in zip(*done)]
+    # the mappings of all holdouts at once, from inner scores only
+    lines = cut_lineage(Ca.sigmoid_mappings(scored[0], holdout_slice, "base_model_score", LABEL))
+    blocks = cut_lineage(Ca.isotonic_blocks(scored[0], holdout_slice, "base_model_score", LABEL))
+
+    def calibrated(df: DataFrame, method: str) -> DataFrame:
+        if method == "sigmoid":
+            df = Ca.apply_sigmoid(df, holdout_slice, "base_model_score", lines)
+        elif method == "isotonic":
+            df = Ca.apply_isotonic(df, holdout_slice, "base_model_score", blocks)
+        elif method == "uncalibrated":
+            df = df.withColumn("calibrated_output", F.col("base_model_score"))
+        else:
+            raise ValueError(f"unknown calibration method {method}")
+        return df.withColumn("calibration_method", F.lit(method))
+
+    slices = [*holdout_slice, "calibration_method"]
+    inner, outer = (cut_lineage(Mo.union_all([calibrated(df, m) for m in methods])) for df in scored)
     thresholds = cut_lineage(Th.select_thresholds(inner, slices, "calibrated_output", LABEL))
     decided = outer.join(
         thresholds.select(*slices, "threshold_policy", F.col("threshold").alias("selected_threshold")), slices
     ).withColumn("decision", decision(F.col("calibrated_output"), F.col("selected_threshold")))
     policy_slice = ["observation_day", "calibration_method", "threshold_policy"]
     holdouts = X.calibration_report(outer, slices, "calibrated_output", LABEL)
+    holdouts = cut_lineage(holdouts.join(Ca.calibration_lines(outer, slices, "calibrated_output", LABEL), slices))
     return {
         "predictions": outer,
         "thresholds": thresholds,
         "decisions": decided,
+        "warnings": Ca.calibration_messages(scored[0], holdout_slice, LABEL),
         "holdouts": holdouts,
         "curves": X.calibration_bins(outer, ["observation_day", "calibration_method"], "calibrated_output", LABEL),
         "pooled": X.calibration_report(outer, ["observation_day", "calibration_method"], "calibrated_output", LABEL),
