@@ -34,14 +34,21 @@ _MAGIC = b"TKP1"
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _IS_SPACE = np.zeros(0x3002, bool)
 _IS_SPACE[[ord(c) for c in _SPACE]] = True
+# ASCII letters, digits and other signs; 0 for white space, controls and all beyond ASCII
+_KIND = np.zeros(129, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
 
 
 def pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """All texts cut before white space that follows anything else, and how many pieces each has.
+    """All texts cut at places that are word boundaries whatever stands around them, and how many pieces each has.
 
-    A word of the tokenizer's pattern holds white space at its start only, or is
-    white space throughout, so such a place is always a word boundary and what
-    stands behind it is split alike with or without what stands before.
+    One kind of place is before white space that follows anything else: a word of
+    the tokenizer's pattern holds white space at its start only, or is white space
+    throughout.  The other is between ASCII letters, digits and other signs, but
+    for a letter behind an apostrophe, which may be a contraction.  What stands
+    behind such a place is split alike with or without what stands before.
     """
     raw = "".join(texts)
     points = np.frombuffer(raw.encode("utf-32-le"), "<u4")
@@ -50,7 +57,9 @@ def pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
     space = _IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)]
     starts = np.zeros(n, bool)
+    kind = _KIND[np.minimum(points, 128)]
     starts[1:] = space[1:] & ~space[:-1]
+    starts[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((points[:-1] == 0x27) & (kind[1:] == 1))
     starts[0] = True
     starts[ends[ends < n]] = True
     places = np.flatnonzero(starts)
@@ -73,7 +82,7 @@ class Encoder:
     distinct piece goes to the library once while it is cached.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
