@@ -205,8 +205,10 @@ def test_tool_calls(spark):
     results = [(1, "a", "one", 2), (1, "a", "again", 8), (1, "b", "two", 2), (1, "lost", None, 4), (None, "n", "", 2), (2, "a", "other", 1)]
     call_table = spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, name string, arguments string, position long")
     result_table = spark.createDataFrame(results, "conv_id long, call_id string, content string, position long")
-    got = {(r.conv_id, r.call_id): r for r in toolcalls.link_tool_calls(call_table, result_table, TOOLS).collect()}
-    assert len(got) == 10
+    every = toolcalls.link_tool_calls(call_table, result_table, TOOLS).collect()
+    got = {(r.conv_id, r.call_id): r for r in every if r.status != "repeated"}
+    assert len(got) == 10 and len(every) == len(got) + 2
+    assert {(r.call_id, r.errors[0], r.depth) for r in every if r.status == "repeated"} == {("a", "repeated result", None), ("b", "repeated call", None)}
     status = {k: (r.status, r.depth, r.errors) for k, r in got.items()}
     assert status[1, "a"] == ("linked", 0, ["repeated result"])
     assert status[1, "b"] == ("early", 1, ["repeated call", "$.a: not integer", "$.z: unknown"])
@@ -297,6 +299,31 @@ def test_every_turn_is_carried_once(spark, tmp_path):
     assert got == Counter((r.conv_id, r.turn) for r in spark.read.parquet(f"{tmp_path}/conversations.parquet").collect())
 
 
+def test_every_call_and_result_is_carried_once(spark, tmp_path):
+    odd = [
+        (7, 0, "user", "q1"), (7, 0, "user", "q2"), (7, 0, "user", "q2"), (7, 1, "assistant", "r1"), (7, 1, "assistant", "r1"),
+        (7, 1, "assistant", "r2"), (7, None, "user", "n1"), (7, None, "user", None), (7, None, "assistant", "n2"),
+        (7, None, "assistant", "n2"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, None, None, None), (8, 3, "assistant", "late"),
+    ]
+    table = spark.createDataFrame([(*r, 1, 2) for r in odd], "conv_id long, turn long, role string, text string, calls int, first int")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = QUERIES["op4_tool_call_linking"](spark, str(tmp_path)).collect()
+    carried = Counter()
+    for r in rows:
+        message = json.loads(r.json)
+        if "arguments" in message:
+            carried[r.conv_id, r.position, "user", message["arguments"].get("prompt") or None] += 1
+            if r.status in ("linked", "early"):
+                carried[r.conv_id, r.position + 1, "assistant", message["result"]] += 1
+        elif "role" in message:
+            carried[r.conv_id, r.position, message["role"], message["content"]] += 1
+        else:
+            carried[r.conv_id, r.position, "assistant", message["result"]] += 1
+    assert carried == Counter(odd)
+    assert Counter(r.status for r in rows) == {"linked": 2, "repeated": 4, "unanswered": 2, "orphan": 4}
+    assert all(r.status not in ("linked", "early") for r in rows if r.position is None)
+
+
 def test_shortened_licenses(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     short = ["All rights reserved.", "Copyright 2021 Some Firm. All rights reserved.", "No part of this work may be reproduced", "Permission is hereby granted, free of charge, to any person"]

@@ -113,10 +113,11 @@ CHAT_TOOLS = {
 def op4(spark, sf_dir):
     """A user turn calls the assistant, whose next turn is the result; it builds on the user turn two before.
 
-    Turns of any other role are carried as messages without a call.
+    Turns of any other role are carried as messages without a call; a null turn has no identifier and links nothing.
     """
     rows = table(spark, sf_dir, "conversations")
-    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    # null where the turn is null
+    name = lambda turn: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), turn.cast("string"))
     calls = rows.where(F.col("role") == "user").select(
         "conv_id",
         name(F.col("turn")).alias("call_id"),

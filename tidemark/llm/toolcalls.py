@@ -113,8 +113,29 @@ def _depths(calls: DataFrame) -> DataFrame:
         state = further
 
 
+def _first_and_others(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, call_id, first, n) of each identifier, and the rows that are not its first one.
+
+    Equal rows are counted before they meet, so an identifier that very many of
+    them share stays small.
+    """
+    keys = ["conv_id", "call_id"]
+    counted = rows.where(F.col("call_id").isNotNull()).groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("copies"))
+    counted = written(counted, "counted-messages")
+    first = counted.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"), F.sum("copies").alias("n"))
+    several = first.where("n > 1").select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_k"), "first")
+    left = F.col("copies") - F.struct(*order).eqNullSafe(F.col("first")).cast("int")
+    others = (
+        counted.join(several, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("call_id") == F.col("_k")))
+        .withColumn("left_", left)
+        .where("left_ > 0")
+        .withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left_"))))
+    )
+    return first, others.select(*keys, *order)
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
-    """One row for each call, and for each result without a call, with its canonical JSON.
+    """One row for each call, and for each result that no call shows, with its canonical JSON.
 
     ``calls``: conv_id, call_id, parent_id (the call it builds on, or null), name,
     arguments (JSON text), position.  ``results``: conv_id, call_id, content,
@@ -124,28 +145,23 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     Returns conv_id, call_id, position, depth, status, valid, errors, json.  The
     order (depth, position) is topological within a conversation.  ``status`` is
     linked, early (the result stands before its call), unanswered, orphan (a
-    result without a call) or cyclic (depth null: the chain of parents does not
-    end).  Of several calls or results with the same identifier the first by
-    position, then by content, counts; ``errors`` tells of the others.  A parent
-    that is no call of the conversation is named in ``errors``.  Null
-    conversations are one conversation; calls with a null identifier link
-    nothing, and null texts count as empty.
+    result without a call), repeated, or cyclic (depth null: the chain of parents
+    does not end).  Of several calls or results with the same identifier the first
+    by position, then by content, is linked; ``errors`` tells of the others, and
+    each of them, equal rows too, has a row of its own with the status repeated and
+    no depth.  So every result stands in the row of its call or in its own.  A
+    parent that is no call of the conversation is named in ``errors``.  Null
+    conversations are one conversation; calls and results with a null identifier
+    link nothing, and null texts count as empty.
     """
-    first_call = F.min(F.struct("position", "name", "arguments", "parent_id")).alias("c")
-    call = (
-        calls.where(F.col("call_id").isNotNull())
-        .groupBy("conv_id", "call_id")
-        .agg(first_call, F.count(F.lit(1)).alias("calls"))
-        .select("conv_id", "call_id", "c.position", "c.name", "c.arguments", "c.parent_id", "calls")
-    )
-    loose = calls.where(F.col("call_id").isNull()).select(
-        "conv_id", "call_id", "position", "name", "arguments", "parent_id", F.lit(1).cast("long").alias("calls")
-    )
+    shown = ["position", "name", "arguments", "parent_id"]
+    call, more_calls = _first_and_others(calls.select("conv_id", "call_id", *shown), shown)
+    call = call.select("conv_id", "call_id", *[f"first.{c}" for c in shown], F.col("n").alias("calls"))
+    loose = calls.where(F.col("call_id").isNull()).select("conv_id", "call_id", *shown, F.lit(1).cast("long").alias("calls"))
     call = written(call, "calls")
-    result = (
-        results.where(F.col("call_id").isNotNull())
-        .groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
-        .agg(F.min(F.struct("position", "content")).alias("_r"), F.count(F.lit(1)).alias("_results"))
+    result, more_results = _first_and_others(results.select("conv_id", "call_id", "position", "content"), ["position", "content"])
+    result = result.select(
+        F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("first").alias("_r"), F.col("n").alias("_results")
     )
     depths = _depths(call).select(F.col("conv_id").alias("_dc"), F.col("call_id").alias("_dk"), "depth")
     known = call.select(F.col("conv_id").alias("_pc"), F.col("call_id").alias("_pk"))
@@ -206,6 +222,20 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
         F.col("_r.content").alias("content"),
         notes.alias("notes"),
     )
+    no_text, note = F.lit(None).cast("string"), lambda text: F.array(F.lit(text)).alias("notes")
+    loose_results = results.where(F.col("call_id").isNull()).select("conv_id", "call_id", "position", "content")
+    for others, is_call, status, text in (
+        (more_calls, True, "repeated", "repeated call"),
+        (more_results, False, "repeated", "repeated result"),
+        (loose_results, False, "orphan", "no identifier"),
+    ):
+        given = lambda c: F.col(c) if c in others.columns else no_text.alias(c)  # noqa: E731, B023
+        rows = rows.unionByName(
+            others.select(
+                "conv_id", "call_id", "position", F.lit(None).cast("long").alias("depth"), F.lit(status).alias("status"),
+                F.lit(is_call).alias("is_call"), given("name"), given("arguments"), given("content"), note(text),
+            )
+        )
     parts = F.struct(*[F.col(c) for c in ("is_call", "call_id", "name", "arguments", "content", "status", "notes")])
     return rows.withColumn("_done", finish(parts)).select(
         "conv_id", "call_id", "position", "depth", "status", "_done.valid", "_done.errors", "_done.json"
