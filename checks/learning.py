@@ -1,10 +1,11 @@
-"""Spark ML experiments over the whole modeling table (rows-only checks)."""
+"""Spark ML experiments over the whole modeling table (rows-only checks), and their arithmetic with fixed coefficients."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from checks import adapter as A
+from checks.adapter import MODELING
 from checks.registry import query, tidy
 from tidemark.operators import models as Mo
 from tidemark.plans import experiments as E
@@ -76,7 +77,7 @@ def early_warning(spark, sf):
 
 @query("j13_common_cohort_experiment")
 def common_cohort(spark, sf):
-    out = E.common_cohort_experiment(_rows(spark, sf), TARGET, A.OBS, folds=3, samples=20)
+    out = E.common_cohort_experiment(_rows(spark, sf), TARGET, A.OBS)
     return tidy(out["day_differences"])
 
 
@@ -97,7 +98,7 @@ def calibration(spark, sf):
 
 @query("j16_j17_d52_feature_importance")
 def importance(spark, sf):
-    out = E.explainability_experiment(_rows(spark, sf), TARGET, (13, 19), folds=2, repeats=5)
+    out = E.explainability_experiment(_rows(spark, sf), TARGET, A.OBS, folds=4, repeats=30)
     a = out["coefficient_summary"].select("observation_day", "feature", F.lit("coefficient").alias("kind"), F.col("mean_standardized_coefficient").alias("value"))
     b = out["importance_summary"].select("observation_day", "feature", F.lit("permutation").alias("kind"), F.col("mean_importance").alias("value"))
     return tidy(a.unionByName(b))
@@ -113,3 +114,43 @@ def contribution_rows(spark, sf):
     return tidy(
         out.select(*OBSERVATION_KEYS, "model_output", "contribution_sum_verified", F.col("top_increasing.feature").alias("increasing"), F.col("top_decreasing.feature").alias("decreasing"))
     )
+
+
+# ---------------------------------------------------------------- shuffled parts of a fixed linear score
+
+_PARTS = {
+    "current_inactivity_gap": "0.25 * coalesce(current_inactivity_gap, 12)",
+    "active_days_last_7_days": "-0.5 * active_days_last_7_days",
+    "clicks_last_7_days": "-least(clicks_last_7_days, 1024) / 256",
+}
+_REPEATS = 30
+_KEYS = ", ".join(OBSERVATION_KEYS)
+_MD = " || '|' || ".join(["'42'", *[f"CAST({k} AS VARCHAR)" for k in OBSERVATION_KEYS]])
+_SHUFFLED = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, r, a.y, a.raw - a.p{k} + b.p{k} AS raw FROM bl a JOIN turn t ON t.feature = '{f}' AND t.block = a.block
+  JOIN bl b ON b.block = a.block AND b.j = (a.j + t.c) % a.m"""
+    for k, f in enumerate(_PARTS)
+)
+_IMPORTANCE = "WITH " + MODELING + f""", pt AS (SELECT {_KEYS}, CAST(future_inactivity AS INTEGER) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS p{k}' for k, e in enumerate(_PARTS.values()))} FROM modeling),
+ix AS (SELECT *, p0 + p1 + p2 - 0.5 AS raw, row_number() OVER (ORDER BY substr(md5({_MD}), 1, 3), {_KEYS}) - 1 AS idx, count(*) OVER () AS n FROM pt),
+bk AS (SELECT *, idx % CAST(ceil(n / 1024) AS BIGINT) AS block FROM ix),
+bl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY block ORDER BY idx) - 1 AS j, count(*) OVER (PARTITION BY block) AS m FROM bk),
+turn AS (SELECT feature, r, block, CASE WHEN m < 2 THEN 0 ELSE 1 + CAST(('0x' || substr(md5('42|' || feature || '|' || r || '|' || block), 1, 8)) AS BIGINT) % (m - 1) END AS c
+  FROM (SELECT DISTINCT block, m FROM bl), (SELECT unnest([{', '.join(f"'{f}'" for f in _PARTS)}]) AS feature), range({_REPEATS}) g(r)),
+sh AS ({_SHUFFLED} UNION ALL SELECT 'none', 0, y, raw FROM bl),
+sc AS (SELECT feature, r, raw, sum(y) AS p, count(*) AS c FROM sh GROUP BY ALL),
+cu AS (SELECT *, sum(p) OVER w AS cp, sum(c) OVER w AS cc FROM sc WINDOW w AS (PARTITION BY feature, r ORDER BY raw DESC)),
+ap AS (SELECT feature, r, sum(p * cp / cc) / sum(p) AS ap FROM cu GROUP BY ALL)
+SELECT feature, round(round(avg(d), 10), 6) + 0.0 AS importance_mean, round(round(stddev_pop(d), 10), 6) + 0.0 AS importance_standard_deviation, count(*) AS repeats
+FROM (SELECT feature, (SELECT ap FROM ap WHERE feature = 'none') - ap AS d FROM ap WHERE feature <> 'none') GROUP BY feature"""
+
+
+@query("j17_permutation_of_fixed_parts", _IMPORTANCE)
+def permutation_of_fixed_parts(spark, sf):
+    """Parts are exact binary fractions, so equal logits are equal in both engines."""
+    from tidemark.operators.explain import permutation_from_parts
+
+    parts = [F.expr(e).cast("double") for e in _PARTS.values()]
+    rows = _rows(spark, sf).select(*OBSERVATION_KEYS, F.col(TARGET).cast("int").alias("y"), F.array(*parts).alias("parts"))
+    rows = rows.withColumn("raw", F.col("parts")[0] + F.col("parts")[1] + F.col("parts")[2] - 0.5)
+    return tidy(permutation_from_parts(rows, list(_PARTS), OBSERVATION_KEYS, "y", _REPEATS))

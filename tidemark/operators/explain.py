@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from hashlib import md5
-from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import dense_index
+from tidemark.functions.scalars import inverse_logit
 from tidemark.operators.metrics import ranking_metrics
-from tidemark.operators.models import BaseModel, apply_base_model
+from tidemark.operators.models import MISSING, BaseModel, apply_base_model
 from tidemark.session import cut_lineage
 
 
@@ -75,67 +77,78 @@ def compare_rankings(summary: DataFrame, first_day: int, second_day: int, k: int
     return correlation.withColumn("one", one).join(shared.withColumn("one", one), "one").drop("one")
 
 
-def _steps(n: int, features: Sequence[str], repeats: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """Multiplier and offset of one index permutation per feature and repeat.
+def logit_parts(model: BaseModel, rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """``keys``, ``label``, raw (the logit) and parts: what each input feature, missing flag included, adds to it."""
+    prepared = model.pipeline.stages[0].transform(rows)
+    added = {f: F.lit(0.0) for f in model.inputs}
+    for i, (name, c) in enumerate(zip(model.names, model.coefficients)):
+        added[name.removeprefix(MISSING)] += F.col(f"z_{i}") * F.lit(c)
+    with_parts = prepared.select(*keys, label, F.array(*added.values()).alias("parts"))
+    raw = F.aggregate("parts", F.lit(model.intercept), lambda total, part: total + part)
+    return with_parts.select(*keys, label, raw.alias("raw"), "parts")
 
-    The multiplier times an index plus the offset stays below 2**63.
-    """
-    out = []
-    limit = max(1, min(n, (2**62) // max(n, 1)))
-    for f in features:
-        for r in range(repeats):
-            digest = int(md5(f"{seed}|{f}|{r}".encode()).hexdigest(), 16)
-            a = digest % limit or 1
-            while gcd(a, n) != 1:
-                a = a % limit + 1
-            out.append((f, r, a, (digest >> 64) % n))
-    return out
 
+def _turn(seed: int, feature: str, repeat: int, block: int, rows: int) -> int:
+    """How far a block's values of a feature turn: 1 to rows - 1 places, 0 for a single row."""
+    if rows < 2:
+        return 0
+    return 1 + int(md5(f"{seed}|{feature}|{repeat}|{block}".encode()).hexdigest()[:8], 16) % (rows - 1)
 
-def permutation_importance(
-    model: BaseModel,
-    validation: DataFrame,
+
+def permutation_from_parts(
+    parts: DataFrame,
+    features: Sequence[str],
     keys: Sequence[str],
     label: str,
     repeats: int = 30,
     seed: int = 42,
+    block_rows: int = 1024,
 ) -> DataFrame:
-    """Mean drop of average precision when one feature is shuffled.
-
-    Rows get a hash-ordered index; a repeat reads the feature from the row at
-    ``(a * idx + c) mod n``, a permutation, through an equi-join on the index.
+    """Mean drop of average precision when one feature's part of the logit is shuffled.
+
+    ``parts``: ``keys`` (unique, never null), ``label`` (0 or 1), raw and parts (one
+    number for each of ``features``).  Rows get a hash-ordered index and are dealt to
+    blocks of at most ``block_rows``; in a repeat the values of a feature turn
+    within each block, which in a random order pairs every row with a random
+    other one.  A shuffled logit is the old one plus a difference, so no row is
+    joined or scored again, and scores leave a block as counts.
     """
-    features = list(model.inputs)
-    rows = cut_lineage(dense_index(validation.select(*keys, *features, label), keys, seed=seed))
-    n = rows.count()
-    plan = F.array(
-        *[
-            F.struct(F.lit(f).alias("shuffled"), F.lit(r).alias("repeat"), F.lit(a).alias("a"), F.lit(c).alias("c"))
-            for f, r, a, c in _steps(n, features, repeats, seed)
-        ]
-    )
-    values = rows.select(F.col("idx").alias("source"), F.struct(*[F.col(f).alias(f"v_{f}") for f in features]).alias("other"))
-    expanded = (
-        rows.withColumn("p", F.explode(plan))
-        .select(*rows.columns, "p.*")
-        .withColumn("source", F.pmod(F.col("a") * F.col("idx") + F.col("c"), F.lit(n)))
-        .join(values, "source")
+    features = list(features)
+    indexed = cut_lineage(dense_index(parts.select(*keys, label, "raw", "parts"), keys, seed=seed))
+    blocks = F.ceil(F.col("group_size") / block_rows)
+    dealt = indexed.select(
+        F.pmod("idx", blocks).alias("block"), "idx", F.col(label).cast("int").alias("y"), F.col("raw").cast("double").alias("raw"), "parts"
     )
-    shuffled = expanded.select(
-        "shuffled",
-        "repeat",
-        label,
-        *[F.when(F.col("shuffled") == f, F.col(f"other.v_{f}")).otherwise(F.col(f)).alias(f) for f in features],
-    )
-    scored = apply_base_model(model, shuffled, "p")
-    dropped = ranking_metrics(scored, ["shuffled", "repeat"], "p", label)
-    base = ranking_metrics(apply_base_model(model, rows.withColumn("s", F.lit(1)), "p"), ["s"], "p", label)
-    baseline = base.select(F.lit(1).alias("one"), F.col("average_precision").alias("baseline"))
+
+    def shuffle(group: pa.Table) -> pa.Table:
+        group = group.sort_by("idx")
+        block, n = group.column("block")[0].as_py(), group.num_rows
+        y, raw = group.column("y").to_numpy(), group.column("raw").to_numpy()
+        values = np.array(group.column("parts").to_pylist(), np.float64).reshape(n, len(features))
+        shuffled, repeat, score, label_, many = [], [], [], [], []
+        for k, name in enumerate(features):
+            rest = raw - values[:, k]
+            for r in range(repeats):
+                new = rest + np.roll(values[:, k], -_turn(seed, name, r, block, n))
+                pair, count = np.unique(np.column_stack([new, y]), axis=0, return_counts=True)
+                shuffled.append(np.full(len(pair), k, np.int32))
+                repeat.append(np.full(len(pair), r, np.int32))
+                score.append(1 / (1 + np.exp(-pair[:, 0])))
+                label_.append(pair[:, 1].astype(np.int32))
+                many.append(count)
+        columns = {"shuffled": shuffled, "repeat": repeat, "score": score, "y": label_, "w": many}
+        return pa.table({c: pa.array(np.concatenate(v)) for c, v in columns.items()})
+
+    counts = dealt.groupBy("block").applyInArrow(shuffle, "shuffled int, repeat int, score double, y int, w long")
+    dropped = ranking_metrics(counts, ["shuffled", "repeat"], "score", "y", weight="w")
+    whole = dealt.select(F.lit(1).alias("one"), "y", inverse_logit(F.col("raw")).alias("score"))
+    baseline = ranking_metrics(whole, ["one"], "score", "y").select("one", F.col("average_precision").alias("baseline"))
     loss = F.col("baseline") - F.col("average_precision")
+    names = F.array(*[F.lit(f) for f in features])
     return (
         dropped.withColumn("one", F.lit(1))
-        .join(F.broadcast(baseline), "one")
-        .groupBy(F.col("shuffled").alias("feature"))
+        .join(F.broadcast(baseline), "one")  # one row
+        .groupBy(F.element_at(names, F.col("shuffled") + 1).alias("feature"))
         .agg(
             F.avg(loss).alias("importance_mean"),
             F.stddev_pop(loss).alias("importance_standard_deviation"),
@@ -144,6 +157,18 @@ def permutation_importance(
     )
 
 
+def permutation_importance(
+    model: BaseModel,
+    validation: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    repeats: int = 30,
+    seed: int = 42,
+) -> DataFrame:
+    """Mean drop of average precision when one input feature of ``model`` is shuffled."""
+    return permutation_from_parts(logit_parts(model, validation, keys, label), model.inputs, keys, label, repeats, seed)
+
+
 def summarize_importance(rows: DataFrame) -> DataFrame:
     v = F.col("importance_mean")
     return rows.groupBy("observation_day", "feature").agg(
