@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from checks import adapter as A
 from checks.adapter import MODELING
-from checks.registry import query, tidy
+from checks.metrics import PRED, _select_sql
+from checks.registry import ORACLES, query, tidy
 from tidemark.operators import models as Mo
 from tidemark.plans import experiments as E
 from tidemark.schema import CHANGE_FEATURES, FEATURE_GROUPS, OBSERVATION_KEYS, TARGET
@@ -154,3 +155,46 @@ def permutation_of_fixed_parts(spark, sf):
     rows = _rows(spark, sf).select(*OBSERVATION_KEYS, F.col(TARGET).cast("int").alias("y"), F.array(*parts).alias("parts"))
     rows = rows.withColumn("raw", F.col("parts")[0] + F.col("parts")[1] + F.col("parts")[2] - 0.5)
     return tidy(permutation_from_parts(rows, list(_PARTS), OBSERVATION_KEYS, "y", _REPEATS))
+
+
+# ---------------------------------------------------------------- a saved model with its profile and policies
+
+
+def _saved_reference(spark, sf):
+    from checks.resampling import _DF
+    from tidemark.session import scratch_folder
+
+    train = A.saved_predictions(spark, sf).where("observation_day = 10")
+    folder = scratch_folder(spark, "reference")
+    model = Mo.fit_base_model(train, _DF, "actual_label")
+    Mo.save_reference(model, Mo.Calibrator("sigmoid_raw", 1.0, 0.0), folder, "1.0.0", train)
+    return folder
+
+
+@query("j19_m12_saved_profile_drift", ORACLES["d43_feature_drift"])
+def saved_profile_drift(spark, sf):
+    """The profile saved with the model of day 10, read back and held against day 19."""
+    return tidy(Mo.reference_drift(A.saved_predictions(spark, sf).where("observation_day = 19"), _saved_reference(spark, sf)))
+
+
+@query(
+    "j19_d47_saved_policies",
+    PRED
+    + "p10 AS (SELECT * FROM pred WHERE observation_day = 10), "
+    + _select_sql(["observation_day"]).replace("FROM pred", "FROM p10")
+    + """ SELECT s.threshold_policy, round(any_value(s.threshold), 6) + 0.0 AS selected_threshold, count(*) AS rows, count(*) FILTER (WHERE p.calibrated_output >= s.threshold) AS alerts,
+ count(*) FILTER (WHERE p.calibrated_output >= s.threshold AND p.actual_label = 1) AS true_alerts FROM sel s, pred p WHERE p.observation_day = 19 GROUP BY s.threshold_policy""",
+)
+def saved_policies(spark, sf):
+    """Policies saved with the model of day 10, applied to the scores of day 19."""
+    rows = A.saved_predictions(spark, sf).where("observation_day = 19").select("calibrated_output", "actual_label")
+    decided = Mo.apply_policies(rows, _saved_reference(spark, sf), "calibrated_output")
+    hit = F.col("decision") == 1
+    return tidy(
+        decided.groupBy("threshold_policy").agg(
+            F.first("selected_threshold").alias("selected_threshold"),
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(hit).alias("alerts"),
+            F.count_if(hit & (F.col("actual_label") == 1)).alias("true_alerts"),
+        )
+    )

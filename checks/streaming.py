@@ -14,6 +14,7 @@ from tidemark.operators.daily import with_activity_type
 from tidemark.schema import CATEGORY_COLUMNS, ENTITY_KEYS
 from tidemark.session import scratch_folder
 from tidemark.streaming import core as C
+from tidemark.streaming import late as L
 from tidemark.streaming import stateful as St
 
 ORIGIN = "2024-01-01"
@@ -113,3 +114,31 @@ def micro_batch(spark, sf):
         _table_stream(spark, path), lambda b: tidy(Dr.score_drift(b, reference, "calibrated_output")), "stream-drift"
     )
     return out.drop("batch_id")
+
+
+# every seventeenth event arrives two batches after its own five days
+_ARRIVAL = "CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 5) AS BIGINT) + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END"
+
+
+@query(
+    "i09_late_rows",
+    f"""WITH a AS (SELECT CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, dense_rank() OVER (ORDER BY {_ARRIVAL}) - 1 AS batch_id FROM events),
+      m AS (SELECT batch_id, max(max(ts)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS wm FROM a GROUP BY batch_id)
+    SELECT batch_id, count(*) AS rows, count(*) FILTER (WHERE ts < wm) AS late_rows, CAST(max(CASE WHEN ts < wm THEN epoch(wm) - epoch(ts) END) AS BIGINT) AS most_seconds_behind
+    FROM a JOIN m USING (batch_id) GROUP BY batch_id""",
+)
+def late_rows(spark, sf):
+    """Batches arrive one after the other; the stream is stopped and started again for each."""
+    folder, inbox = scratch_folder(spark, "late"), scratch_folder(spark, "inbox")
+    days = F.floor(F.datediff(F.to_date("ts"), F.lit(ORIGIN).cast("date")) / 5)
+    events = A.table(spark, sf, "events").select(
+        "event_id",
+        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("event_time"),
+        (days + F.when(F.col("event_id") % 17 == 0, 2).otherwise(0)).alias("arrival"),
+    )
+    out = None
+    for (arrival,) in sorted(events.select("arrival").distinct().collect()):  # a handful of batches
+        batch = events.where(F.col("arrival") == arrival).drop("arrival")
+        batch.write.mode("append").parquet(inbox)
+        out = L.collect_late(C.replay_source(spark, inbox, batch.schema, files_per_trigger=None), folder, "event_time", "1 DAY")
+    return tidy(L.late_counts(out, "event_time"))

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import exact_quantiles
-from tidemark.functions.scalars import clamp01, inverse_logit, logit
+from tidemark.functions.scalars import clamp01, decision, inverse_logit, logit
 from tidemark.operators import calibration as Ca
-from tidemark.operators.drift import long_features
+from tidemark.operators.drift import feature_drift, feature_profile, long_features, score_profile
 from tidemark.operators.holdout import grouped_folds
+from tidemark.operators.thresholds import select_thresholds
 from tidemark.schema import CHANGE_FEATURES, check_feature_names
 from tidemark.session import cut_lineage
 
@@ -238,8 +239,21 @@ def fit_reference(
     return fit_base_model(rows, features, label), calibrator, calibrator.apply(oof, "oof_raw")
 
 
-def save_reference(model: BaseModel, calibrator: Calibrator, path: str, version: str) -> None:
-    """Persist the pipeline with the sigmoid as its last SQL stage, and a manifest row."""
+def save_reference(
+    model: BaseModel,
+    calibrator: Calibrator,
+    path: str,
+    version: str,
+    rows: DataFrame | None = None,
+    score: str = "calibrated_output",
+    label: str = "actual_label",
+) -> None:
+    """Persist the pipeline, the sigmoid in a manifest row, and what monitoring needs.
+
+    With ``rows`` (training rows with their out-of-fold score), the profile of the
+    model's features, the profile of the score and the threshold policies are saved
+    beside the pipeline as tables.
+    """
     from tidemark.schema import RECORD_SCHEMA_VERSION
 
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -248,6 +262,37 @@ def save_reference(model: BaseModel, calibrator: Calibrator, path: str, version:
         [(version, RECORD_SCHEMA_VERSION, calibrator.slope, calibrator.intercept, model.training_rows, model.iterations, ",".join(model.inputs))],
         "model_version string, schema_version string, slope double, intercept double, training_rows long, iterations int, features string",
     ).write.mode("overwrite").parquet(f"{path}/manifest")
+    if rows is not None:
+        tables = {
+            "profile": feature_profile(rows, model.inputs),
+            "score_profile": score_profile(rows, score),
+            "policies": select_thresholds(rows.withColumn("all", F.lit("all")), ["all"], score, label).drop("all"),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def reference_table(path: str, name: str) -> DataFrame:
+    """``profile``, ``score_profile`` or ``policies`` of a saved reference model."""
+    return _session().read.parquet(f"{path}/{name}")
+
+
+def reference_drift(rows: DataFrame, path: str) -> DataFrame:
+    """Drift of the saved model's features between its training rows and ``rows``."""
+    features = reference_table(path, "manifest").first().features.split(",")
+    return feature_drift(rows, reference_table(path, "profile"), features)
+
+
+def apply_policies(rows: DataFrame, path: str, score: str) -> DataFrame:
+    """``rows`` once for each saved threshold policy, with threshold_policy, selected_threshold and decision."""
+    # five rows at most
+    policies = reference_table(path, "policies").select("threshold_policy", F.col("threshold").alias("selected_threshold"))
+    entries = F.array_sort(F.collect_list(F.struct("threshold_policy", "selected_threshold")))
+    saved = policies.agg(entries.alias("_policies")).withColumn("_one", F.lit(1))
+    each_policy = rows.withColumn("_one", F.lit(1)).join(F.broadcast(saved), "_one").withColumn("_p", F.explode("_policies"))
+    return each_policy.select(
+        *rows.columns, "_p.threshold_policy", "_p.selected_threshold", decision(F.col(score), F.col("_p.selected_threshold")).alias("decision")
+    )
 
 
 def _session():
