@@ -142,3 +142,26 @@ def late_rows(spark, sf):
         batch.write.mode("append").parquet(inbox)
         out = L.collect_late(C.replay_source(spark, inbox, batch.schema, files_per_trigger=None), folder, "event_time", "1 DAY")
     return tidy(L.late_counts(out, "event_time"))
+
+
+# ---------------------------------------------------------------- finite streams, closed at their end
+
+
+def _closed(spark, sf, build, name):
+    events, close = C.closable(_event_stream(spark, sf))
+    return tidy(C.drain(build(events), name, close=close))
+
+
+@query("i01_i02_streaming_daily_closed", "WITH " + A.DAILY + tidy_sql(_DAILY_KINDS, "daily"))
+def streaming_daily_closed(spark, sf):
+    return _closed(spark, sf, lambda events: C.stream_daily(events, ORIGIN), "stream-daily")
+
+
+@query("i03_streaming_trailing_totals_closed", ORACLES["i03_streaming_trailing_totals"].replace(f"WHERE TIMESTAMP '2024-01-01' + INTERVAL (day + 1) DAY <= {_LIMIT}", ""))
+def streaming_trailing_closed(spark, sf):
+    return _closed(spark, sf, lambda events: C.stream_trailing(events, ORIGIN), "stream-trailing")
+
+
+@query("i04_streaming_sessions_closed", ORACLES["i04_streaming_sessions"].replace(f"HAVING max(day) + {QUIET} <= (SELECT max(day) FROM daily) - 1", ""))
+def streaming_sessions_closed(spark, sf):
+    return _closed(spark, sf, lambda events: C.stream_sessions(events, ORIGIN, QUIET), "stream-sessions")

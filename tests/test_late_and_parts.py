@@ -80,3 +80,26 @@ def test_parts_add_up_to_the_score(spark):
     scored = Mo.apply_base_model(model, df, "p", "raw").collect()
     assert all(len(parts[r.k].parts) == 3 and parts[r.k].raw == pytest.approx(r.raw) for r in scored)
     assert any(n.startswith(Mo.MISSING) for n in model.names)
+
+
+def test_closing_a_stream_of_several_files(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    kinds = "unit string, period string, entity long, event_time timestamp, day int, resource long, clicks long, activity_type string"
+    rows = [("M", "P", e, start + timedelta(days=d, hours=h), d, 7, 2, "forumng") for d in (0, 1, 9) for e in (1, 2) for h in (1, 5)]
+    for d in (0, 1, 9):
+        spark.createDataFrame([r for r in rows if r[4] == d], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+
+    def source():
+        return core.replay_source(spark, f"{tmp_path}/in", schema)
+
+    half = core.drain(core.stream_daily(source(), "2024-01-01"), "half").collect()
+    events, close = core.closable(source())
+    whole = core.drain(core.stream_daily(events, "2024-01-01"), "whole", close=close).collect()
+    assert sorted((r.entity, r.day, r.total_clicks) for r in whole) == [(e, d, 4) for e in (1, 2) for d in (0, 1, 9)]
+    assert {r.day for r in half} == {0, 1}
+    events, close = core.closable(source())
+    sessions = core.drain(core.stream_sessions(events, "2024-01-01", 5), "sessions", close=close).collect()
+    assert sorted((r.entity, r.first_day, r.last_day, r.clicks) for r in sessions) == [
+        (e, a, b, c) for e in (1, 2) for a, b, c in ((0, 1, 8), (9, 9, 4))
+    ]

@@ -40,16 +40,23 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def partition_fingerprints(spark: SparkSession, root: str, settings: str) -> DataFrame:
     """One hash per unit and period over its files' names, sizes and times.
 
-    ``settings`` is any text describing the build; changing it changes every
-    fingerprint.
+    The folder is listed and no file is opened; unit and period come from the
+    partition folders' names.  ``settings`` is any text describing the build;
+    changing it changes every fingerprint.  Files outside such folders, and hidden
+    ones, are left out.
     """
-    table = spark.read.parquet(root)
-    files = table.select(
-        *UNIT_KEYS,
-        F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").cast("string").alias("modified"),
-    ).distinct()
+    # without its content column this source only lists
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(root)
+    of = lambda key: F.url_decode(
+        # a plus stands for itself in folder names
+        F.replace(F.regexp_extract("path", f"/{key}=([^/]+)/", 1), F.lit("+"), F.lit("%2B"))
+    ).alias(key)
+    files = listed.select(
+        *[of(key) for key in UNIT_KEYS],
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("length").alias("size"),
+        F.col("modificationTime").cast("string").alias("modified"),
+    ).where(" AND ".join(f"{key} <> ''" for key in UNIT_KEYS))
     return files.groupBy(*UNIT_KEYS).agg(
         F.sha2(
             F.concat_ws(

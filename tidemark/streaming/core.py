@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,19 +26,46 @@ def replay_source(
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all available input into a table and read it back."""
+def closable(events: DataFrame, time_col: str = "event_time") -> tuple[DataFrame, Callable[[], None]]:
+    """``events`` with a way to end a finite stream, for :func:`drain`.
+
+    Calling the second result adds one row that holds nothing but a time far
+    ahead.  It moves the watermark past every open window and session, which are
+    then emitted; its own window stays open, so it never shows.  Call it only once
+    all input has been processed: what arrives later is late.
+    """
+    spark, schema = events.sparkSession, events.schema
+    folder = scratch_folder(spark, "closing")
+    spark.createDataFrame([], schema).write.parquet(folder)
+
+    def close() -> None:
+        end = F.lit("3000-01-01 00:00:00").cast(schema[time_col].dataType)
+        row = spark.range(1).select(*[(end if f.name == time_col else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+        row.write.mode("append").parquet(folder)
+
+    return events.unionByName(spark.readStream.schema(schema).parquet(folder)), close
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Process all available input into a table and read it back; ``close`` also emits what is still open."""
     spark = stream.sparkSession
     out = scratch_folder(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/progress")
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{out}/data")
+            .option("checkpointLocation", f"{out}/progress")
+            .outputMode(mode)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if close is not None:
+        close()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
