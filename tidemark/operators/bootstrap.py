@@ -28,6 +28,10 @@ STEP, MULTIPLY = 2654435769, (2146121005, 2221713035)
 LIMITS = tuple(
     math.floor(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(upto + 1))) for upto in range(11)
 )
+_LIMITS = np.array(LIMITS, np.uint32)
+# the upper half of a hash tells its weight, but for the eleven values that hold a limit
+_BY_TOP = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint32) << np.uint32(16), side="right").astype(np.float64)
+_UNSURE = np.isin(np.arange(1 << 16), _LIMITS >> np.uint32(16))
 _HELD = 4_000_000  # sums that a task keeps before it passes them on
 
 
@@ -46,7 +50,11 @@ def weights(units: np.ndarray, samples: int) -> np.ndarray:
     x ^= x >> np.uint32(15)
     x *= np.uint32(MULTIPLY[1])
     x ^= x >> np.uint32(16)
-    return np.searchsorted(np.array(LIMITS, np.uint32), x, side="right").astype(np.float64)
+    top = x >> np.uint32(16)
+    out = _BY_TOP[top]
+    unsure = np.flatnonzero(_UNSURE[top])
+    out.flat[unsure] = np.searchsorted(_LIMITS, x.flat[unsure], side="right")
+    return out
 
 
 def _pieces(n: int, samples: int) -> Iterator[slice]:
