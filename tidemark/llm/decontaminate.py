@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.storage import written
+from tidemark.llm.storage import free_names, written
 from tidemark.llm.vocabulary import Vocabulary
 
 # fixed values: unit words and signs that follow a number
@@ -245,5 +245,6 @@ def find_leaks(
 
 def drop_leaked(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those that ``find_leaks`` names."""
-    gone = leaks.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = leaks.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

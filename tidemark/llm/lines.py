@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import written
+from tidemark.llm.storage import free_names, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\f\r"
@@ -60,25 +60,27 @@ def drop_shared_lines(
         .groupBy("_id")
         .agg(F.collect_set("_key").alias("_cut"))
     )
-    cut = F.coalesce("_cut", F.array().cast("array<binary>"))
-    kept = F.when(F.size(cut) == 0, F.col("_lines")).otherwise(
+    of_id, cut_name, all_lines, kept_lines = free_names(docs, "_id", "_cut", "_lines", "_kept")
+    cuts = cuts.toDF(of_id, cut_name)
+    cut = F.coalesce(F.col(cut_name), F.array().cast("array<binary>"))
+    kept = F.when(F.size(cut) == 0, F.col(all_lines)).otherwise(
         F.filter(
-            "_lines", lambda line: ~F.array_contains(cut, F.coalesce(_digest(line, min_chars), F.lit(b"")))
+            all_lines, lambda line: ~F.array_contains(cut, F.coalesce(_digest(line, min_chars), F.lit(b"")))
         )
     )
     # each step is a projection of its own, so that texts are split and filtered once
     return (
-        docs.join(cuts, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-        .withColumn("_lines", lines)
-        .withColumn("_kept", kept)
+        docs.join(cuts, F.col(id_col).eqNullSafe(F.col(of_id)), "left")
+        .withColumn(all_lines, lines)
+        .withColumn(kept_lines, kept)
         .withColumns(
             {
-                "line_count": F.size("_lines").cast("long"),
-                "dropped_count": (F.size("_lines") - F.size("_kept")).cast("long"),
-                "kept_text": F.array_join("_kept", "\n"),
+                "line_count": F.size(all_lines).cast("long"),
+                "dropped_count": (F.size(all_lines) - F.size(kept_lines)).cast("long"),
+                "kept_text": F.array_join(kept_lines, "\n"),
             }
         )
-        .drop("_id", "_cut", "_lines", "_kept")
+        .drop(of_id, cut_name, all_lines, kept_lines)
     )
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
+from tidemark.llm.storage import free_names
+
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…"
 _SIGNS = "!#$%&*+<=>@[\\]^_`{|}~"
 _BEGINNINGS = (4, 5, 6)
@@ -173,7 +175,8 @@ def train_quality(
             found = [hashed_features(t, buckets).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "grade", "found"])
 
-    sample = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_id", "_grade", F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"))
+    sample = texts.join(F.broadcast(picked), F.col("_of") == F.col("_id")).select("_id", "_grade", "_text")
     schema = T.StructType().add("id", rated.schema["_id"].dataType).add("grade", T.IntegerType()).add("found", T.BinaryType())
     rows = sample.mapInArrow(run, schema).distinct().orderBy(F.xxhash64("found"), "grade").toArrow()
     if rows.num_rows == 0:
@@ -210,15 +213,16 @@ def score_quality(
                 }
             )
 
+    docs = docs.drop("expected_grade", "tail_probability", "selected")
+    (both,) = free_names(docs, "_score")
     return (
-        docs.drop("expected_grade", "tail_probability", "selected")
-        .withColumn("_score", score(F.col(text_col)))
+        docs.withColumn(both, score(F.col(text_col)))
         .withColumns(
             {
-                "expected_grade": F.col("_score.expected_grade"),
-                "tail_probability": F.col("_score.tail_probability"),
+                "expected_grade": F.col(both)["expected_grade"],
+                "tail_probability": F.col(both)["tail_probability"],
             }
         )
         .withColumn("selected", F.col("tail_probability") >= min_probability)
-        .drop("_score")
+        .drop(both)
     )

@@ -25,7 +25,7 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import connected_components, merge_labels, spanning_forest
 from tidemark.llm.gray_index import GrayIndex
-from tidemark.llm.storage import written
+from tidemark.llm.storage import free_names, written
 
 SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -430,8 +430,9 @@ def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame, key=("fi
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the smallest id of each group only, once each; rows with a null id stay."""
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    (name,) = free_names(docs, "_kept")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi")
     return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -16,6 +16,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` names for temporary columns, lengthened where ``df`` has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     spark: SparkSession = df.sparkSession

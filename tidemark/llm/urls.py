@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import free_names
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -102,13 +104,14 @@ def filter_urls(
             found = [find(h, p) or (None, None) for h, p in zip(hosts, paths)]
             yield pd.DataFrame({"rule": [r for _, r in found], "decided": [v for v, _ in found]}, dtype=object)
 
+    pages = pages.drop("host", "path", "rule", "verdict")
+    (found,) = free_names(pages, "_match")
     return (
-        pages.drop("host", "path", "rule", "verdict")
-        .withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-        .withColumn("_match", match("host", "path"))
-        .withColumn("rule", F.col("_match.rule"))
-        .withColumn("verdict", F.coalesce("_match.decided", F.lit(default)))
-        .drop("_match")
+        pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
+        .withColumn(found, match("host", "path"))
+        .withColumn("rule", F.col(found)["rule"])
+        .withColumn("verdict", F.coalesce(F.col(found)["decided"], F.lit(default)))
+        .drop(found)
     )
 
 
