@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, mixing, quality, simhash, tokens
 from tidemark.llm.queries import grades
 from tidemark.llm.registry import table
-from tidemark.llm.storage import written
+from tidemark.llm.storage import free_names, written
 from tidemark.session import scratch_folder
 
 
@@ -33,16 +33,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole copies (0 to 2)."""
     taken = mixing.mix_sources(docs).taken
+    of_id, how_many, copy = free_names(docs, "_id", "_copies", "_copy")
     copies = (
         taken.groupBy("doc_id")
         .agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
         .where(F.col("size") > 0)
-        .select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-        .where(F.col("_copies") > 0)
+        .select(F.col("doc_id").alias(of_id), F.round(F.col("taken") / F.col("size")).cast("int").alias(how_many))
+        .where(F.col(how_many) > 0)
     )
     return (
-        docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.join(copies, F.col("doc_id").eqNullSafe(F.col(of_id)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(how_many))))
         .select(*docs.columns)
     )
 
