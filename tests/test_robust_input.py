@@ -1,12 +1,10 @@
 """Bad text, swapped columns, long histories and large row counts."""
 
-from math import gcd
-
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.explain import _steps
+from tidemark.operators.explain import _turn
 from tidemark.operators.modeling import check_records
 from tidemark.operators.review import priority_order
 from tidemark.schema import CHANGE_FEATURES
@@ -49,7 +47,7 @@ def test_persistent_order_beyond_99_checkpoints(spark):
     assert got == sorted(rows, key=lambda r: (-r[0], -r[1], -r[2]))
 
 
-@pytest.mark.parametrize("n", [1, 2, 12, 10_007, 5_000_000_000, 2**40])
-def test_index_permutations_fit_a_long(n):
-    for _, _, a, c in _steps(n, ["f", "g"], 5, 42):
-        assert gcd(a, n) == 1 and 0 <= c < n and a * (n - 1) + c < 2**63
+@pytest.mark.parametrize("n", [1, 2, 3, 1024])
+def test_turns_move_every_row_of_a_block(n):
+    turns = {_turn(42, f, r, b, n) for f in "fg" for r in range(5) for b in (0, 7, 2**40)}
+    assert turns == {0} if n == 1 else all(0 < t < n for t in turns)
