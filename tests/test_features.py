@@ -208,3 +208,24 @@ def test_one_hot_entity_keeps_totals(spark):
     )
     row = daily_activity(hot).where("entity = 0").first()
     assert row.total_clicks == 1000 and row.number_of_resources_visited == 50
+
+
+def test_rolling_rows_are_not_multiplied_by_their_items(spark):
+    """Items seen again after 6, 7 and 8 days; the only rows added are calendar days."""
+    from itertools import chain
+
+    from tidemark.operators.rolling import rolling_features
+
+    seen = {0: [1, 2, 3], 6: [1], 7: [2, 9], 8: [3, 9], 15: [1]}
+    rows = [("U", "P", 1, d, 1, 0, 0, 0, 0, r, ["t"]) for d, r in seen.items()]
+    daily = spark.createDataFrame(
+        rows,
+        "unit string, period string, entity long, day int, total_clicks long, homepage_clicks long, forum_clicks long,"
+        " content_clicks long, quiz_clicks long, resource_ids array<long>, activity_types array<string>",
+    )
+    out = rolling_features(daily, 0, 20)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    got = {r.day: (r.resources_last_7_days, r.activity_types_last_7_days) for r in out.collect()}
+    for d in range(21):
+        near = [r for t, r in seen.items() if d - 6 <= t <= d]
+        assert got[d] == (len(set(chain(*near))), int(bool(near)))
