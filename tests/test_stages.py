@@ -249,3 +249,19 @@ def test_first_alert_within_watermark(spark):
     folder = write_files(spark, "dups", [[ev(1, 1)], [ev(1, 3), ev(2, 3)], [ev(3, 31)], [ev(4, 31)], [ev(1, 31)]])
     out = C.drain(C.first_alerts(C.replay_source(spark, folder, spark.read.parquet(folder).schema)), "dups-out")
     assert sorted((r.entity, r.event_time.day) for r in out.collect()) == [(1, 1), (1, 31), (2, 3), (3, 31), (4, 31)]
+
+
+def test_importance_of_all_folds_is_no_single_plan(spark):
+    """Each fold's importance is computed on its own; the summary only reads the results."""
+    from tidemark.plans.experiments import explainability_experiment
+    from tidemark.schema import CHANGE_FEATURES
+
+    rows = spark.range(240).selectExpr(
+        "id AS entity", "'U' AS unit", "'P' AS period", "10 AS observation_day", "CAST(id % 3 = 0 AS int) AS quiet",
+        *[f"CAST((id * {k + 7}) % 11 + id % 3 AS double) AS {c}" for k, c in enumerate(CHANGE_FEATURES)],
+    )
+    out = explainability_experiment(rows, "quiet", [10], folds=2, repeats=1)["importance_summary"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "Window" not in plan
+    got = out.collect()
+    assert {r.feature for r in got} == set(CHANGE_FEATURES) and {r.folds_present for r in got} == {2}

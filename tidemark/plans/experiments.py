@@ -308,9 +308,12 @@ def explainability_experiment(
         for fold, model in enumerate(models, 1):
             fitted.append(({"observation_day": day, "fold": fold}, model))
             part = assigned.where(F.col("fold") == fold)
+            # one row per feature; a single plan of all folds would outgrow the driver
             importances.append(
-                Ex.permutation_importance(model, part, OBSERVATION_KEYS, LABEL, repeats, seed).withColumns(
-                    {"observation_day": F.lit(day), "fold": F.lit(fold)}
+                cut_lineage(
+                    Ex.permutation_importance(model, part, OBSERVATION_KEYS, LABEL, repeats, seed).withColumns(
+                        {"observation_day": F.lit(day), "fold": F.lit(fold)}
+                    )
                 )
             )
     coefficients = Mo.coefficient_rows(fitted)
