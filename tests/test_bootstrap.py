@@ -83,3 +83,18 @@ def test_ranking_samples_without_rows(spark):
 def test_seed_text(spark):
     row = spark.createDataFrame([(7, "M0")], "entity long, unit string").select(B.unit_seed(["unit", "entity"], 42).alias("u")).first()
     assert row.u == int(hashlib.md5(b"42|M0|7").hexdigest()[:8], 16)
+
+
+def test_units_are_drawn_without_a_broadcast(spark):
+    """A table of units grows with the input, so it never goes through the driver."""
+    from tidemark.operators.resampling import resampled_weights
+
+    units = spark.range(50).withColumnRenamed("id", "entity")
+    drawn = resampled_weights(units, ["entity"], [], 3)
+    got = drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    by_sample = {}
+    for r in got:
+        by_sample[r.sample] = by_sample.get(r.sample, 0) + r.w
+    assert by_sample == {0: 50, 1: 50, 2: 50}
