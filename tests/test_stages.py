@@ -265,3 +265,20 @@ def test_importance_of_all_folds_is_no_single_plan(spark):
     assert "InArrow" not in plan and "Window" not in plan
     got = out.collect()
     assert {r.feature for r in got} == set(CHANGE_FEATURES) and {r.folds_present for r in got} == {2}
+
+
+def test_reviewed_cases_need_no_shuffle_of_lanes(spark):
+    """One last place per slice decides who is reviewed; lanes stay columns of written files."""
+    scenarios = [
+        R.Scenario("f1_focused", kind, value, R.OPEN_CASE, p)
+        for p in R.PRIORITIES
+        for kind, value in ((R.FIXED, 3.0), (R.FIXED, 40.0), (R.RATE, 0.5), (R.UNLIMITED, None))
+    ]
+    lanes = R.allocate_reviews(alerts(spark, range(12)), scenarios, DAYS)
+    done = lanes.where("reviewed0").groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.max("entity").alias("last"))
+    got = {r["scenario_id"]: (r["n"], r["last"]) for r in done.collect()}
+    want = {s.name: {3.0: (3, 2), 0.5: (6, 5)}.get(s.capacity_value, (12, 11)) for s in scenarios}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[s.name] == want[s.name] for s in scenarios if s.priority != "inactivity_gap" and s.priority != "hybrid")
+    plan = lanes._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "hashpartitioning" not in plan

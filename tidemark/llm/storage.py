@@ -4,16 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import scratch_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._tidemark_path = path
-    return back
+from tidemark.session import written  # noqa: F401  (part of this module's interface)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
