@@ -331,3 +331,13 @@ def test_shortened_licenses(spark):
     docs = docs.unionByName(extra)
     found = licenses.scan_licenses(docs, licenses.train_licenses(docs)).where("confirmed and doc_id >= 9100").collect()
     assert {(r.doc_id, r.position, r.family) for r in found} == {(9100 + k, 1, "MIT" if k == 3 else "Proprietary") for k in range(4)}
+
+
+def test_a_worker_keeps_the_cache_of_one_operator():
+    from tidemark.llm.vocabulary import lean, worker_cache
+
+    cache = worker_cache("mine")
+    cache["word"] = 1
+    assert list(lean(lambda batches: (b + len(cache) for b in batches), "mine")(iter([1]))) == [2] and cache
+    assert list(lean(lambda batches: (b + len(cache) for b in batches))(iter([1]))) == [1] and not cache
+    assert tokens._ENCODERS is worker_cache("tokens")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.storage import free_names, written
-from tidemark.llm.vocabulary import Vocabulary
+from tidemark.llm.vocabulary import Vocabulary, lean
 
 # fixed values: unit words and signs that follow a number
 UNITS = frozenset(
@@ -154,7 +154,7 @@ def _template_windows(rows: DataFrame, sizes: list[int], share_literal: float, w
             if out[0]:
                 yield _batch(out, batch.schema.field(0).type, names)
 
-    return rows.mapInArrow(run, f"id {kind_id}, {_WINDOW_SCHEMA}")
+    return rows.mapInArrow(lean(run), f"id {kind_id}, {_WINDOW_SCHEMA}")
 
 
 def _batch(out: list[list], id_type: pa.DataType, names: list[str]) -> pa.RecordBatch:

@@ -26,6 +26,7 @@ from xxhash import xxh64_intdigest
 from tidemark.llm.components import connected_components, merge_labels, spanning_forest
 from tidemark.llm.gray_index import GrayIndex
 from tidemark.llm.storage import free_names, written
+from tidemark.llm.vocabulary import lean
 
 SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -385,7 +386,7 @@ def similar_groups(
 
     kind = docs.schema[id_col].dataType.simpleString()
     prints = written(
-        docs.select(id_col, text_col).mapInArrow(sized, f"doc_id {kind}, fingerprint long, twin long, size long, whole long"),
+        docs.select(id_col, text_col).mapInArrow(lean(sized), f"doc_id {kind}, fingerprint long, twin long, size long, whole long"),
         "fingerprints",
     )
     nodes = written(
@@ -398,7 +399,7 @@ def similar_groups(
     candidates = _Candidates(max_distance, blocks, exact_blocks, min_similarity)
     dealt = written(
         _deal(nodes.drop("whole"), blocks, exact_blocks, chunk_rows).mapInArrow(
-            candidates.members(), "mask long, pattern long, pair long, fingerprint long, node long, twin long"
+            lean(candidates.members()), "mask long, pattern long, pair long, fingerprint long, node long, twin long"
         ),
         "candidates",
     )
@@ -411,13 +412,13 @@ def similar_groups(
     sets = (
         docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         .join(dealt.select("node").distinct(), "node", "left_semi")
-        .mapInArrow(shingled, "node long, shingles binary")
+        .mapInArrow(lean(shingled), "node long, shingles binary")
         .groupBy("node")
         .agg(F.min("shingles").alias("shingles"))
     )
     similar = _sorted_groups(
         dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "twin", "shingles")
-    ).mapInArrow(candidates.similar(), "a long, b long")
+    ).mapInArrow(lean(candidates.similar()), "a long, b long")
     return _with_groups(prints, nodes, connected_components(similar), names[1:])
 
 

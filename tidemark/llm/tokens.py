@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.vocabulary import lean, worker_cache
+
 _HEAD = struct.Struct("<4sB3xIQI")
 _MAGIC = b"TKP1"
 # white space of the tokenizer's word pattern
@@ -124,7 +126,7 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker_cache("tokens")
 
 
 def encoder(path: str) -> Encoder:
@@ -244,7 +246,7 @@ def write_token_files(
         .repartitionByRange("doc_id", "hash")
         .sortWithinPartitions("doc_id", "hash")
         .select("doc_id", "text")
-        .mapInArrow(run, CHUNK_SCHEMA)
+        .mapInArrow(lean(run, "tokens"), CHUNK_SCHEMA)
         .write.parquet(path)
     )
 
@@ -282,7 +284,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     docs = chunks.select("shard", "first_id", "doc_ids", "doc_lengths", "payload").mapInArrow(
-        run, "shard int, doc_id long, within long, n_tokens long, ids binary"
+        lean(run, "tokens"), "shard int, doc_id long, within long, n_tokens long, ids binary"
     )
     # one row of 16 bytes for each shard: beyond 32 MB the ids are shuffled instead
     if totals.count() <= 2_000_000:

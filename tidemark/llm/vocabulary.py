@@ -1,10 +1,41 @@
-"""Words as small integers, for numpy work on whole batches of text."""
+"""Words as small integers, for numpy work on whole batches of text, and what workers keep between tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What tasks of ``owner`` keep in a worker process; tasks of other owners empty it."""
+    return _CACHES.setdefault(owner, {})
+
+
+def _begin_task(owner: str) -> None:
+    for other, cache in _CACHES.items():
+        if other != owner:
+            cache.clear()
+
+
+def _end_task() -> None:
+    pa.default_memory_pool().release_unused()
+
+
+def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, leaving little behind in its worker, which outlives tasks and stages."""
+
+    def task(batches: Iterator) -> Iterator:
+        _begin_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _end_task()
+
+    return task
 
 
 class Vocabulary(dict):
