@@ -242,6 +242,30 @@ def test_online_baseline_over_many_batches(spark):
     assert got.count() == want.count() == diff.count() and bad.count() == 0
 
 
+def test_online_baseline_shares_states_between_neighbours(spark):
+    """200 entities need four calls and states in place of 200; negative ids and new entities keep their own history."""
+    from tidemark.operators.baseline import personal_baseline
+
+    rolled = spark.range(-50, 150).selectExpr("'U' AS unit", "'P' AS period", "id AS entity").crossJoin(spark.range(9).selectExpr("CAST(id AS int) AS day")).selectExpr(
+        "*", "day >= 2 AS window_complete", "pmod(entity * 7 + day * day, 11) AS clicks_last_7_days", "pmod(entity + day, 5) AS active_days_last_7_days",
+        "CASE WHEN day > pmod(entity, 4) THEN pmod(entity * day, 6) END AS days_since_last_activity",
+    ).where("day >= 4 OR entity % 3 = 0").cache()
+    folder = scratch_folder(spark, "neighbours")
+    for low, high in ((0, 3), (4, 8)):
+        rolled.where(F.col("day").between(low, high)).coalesce(1).write.mode("append").parquet(folder)
+    out = scratch_folder(spark, "neighbours-out")
+    stream = St.online_baseline(C.replay_source(spark, folder, rolled.schema))
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 4
+    got = spark.read.schema(stream.schema).parquet(f"{out}/data")
+    want = personal_baseline(rolled).select(*got.columns)
+    rounded = lambda df: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    assert rounded(got) == rounded(want)
+
+
 def test_first_alert_within_watermark(spark):
     import datetime as dt
 
