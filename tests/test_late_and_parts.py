@@ -103,3 +103,13 @@ def test_closing_a_stream_of_several_files(spark, tmp_path):
     assert sorted((r.entity, r.first_day, r.last_day, r.clicks) for r in sessions) == [
         (e, a, b, c) for e in (1, 2) for a, b, c in ((0, 1, 8), (9, 9, 4))
     ]
+
+
+def test_permutation_shuffles_each_block_once(spark):
+    """The result reads written counts, so no reader of the curve repeats the shuffles."""
+    from tidemark.operators import explain as Ex
+
+    df = spark.range(50).selectExpr("id AS k", "CAST(id % 3 = 0 AS int) AS y", "id % 7 / 8.0D AS raw", "array(id % 7 / 8.0D) AS parts")
+    out = Ex.permutation_from_parts(df, ["a"], ["k"], "y", 2)
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+    assert out.count() == 1

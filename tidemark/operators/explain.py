@@ -130,17 +130,21 @@ def permutation_from_parts(
             rest = raw - values[:, k]
             for r in range(repeats):
                 new = rest + np.roll(values[:, k], -_turn(seed, name, r, block, n))
-                pair, count = np.unique(np.column_stack([new, y]), axis=0, return_counts=True)
-                shuffled.append(np.full(len(pair), k, np.int32))
-                repeat.append(np.full(len(pair), r, np.int32))
-                score.append(1 / (1 + np.exp(-pair[:, 0])))
-                label_.append(pair[:, 1].astype(np.int32))
-                many.append(count)
+                value, place = np.unique(new, return_inverse=True)
+                count = np.bincount(2 * place + y, minlength=2 * len(value))
+                found = np.flatnonzero(count)
+                shuffled.append(np.full(len(found), k, np.int32))
+                repeat.append(np.full(len(found), r, np.int32))
+                score.append(1 / (1 + np.exp(-value[found // 2])))
+                label_.append((found % 2).astype(np.int32))
+                many.append(count[found])
         columns = {"shuffled": shuffled, "repeat": repeat, "score": score, "y": label_, "w": many}
         return pa.table({c: pa.array(np.concatenate(v)) for c, v in columns.items()})
 
     counts = dealt.groupBy("block").applyInArrow(shuffle, "shuffled int, repeat int, score double, y int, w long")
-    dropped = ranking_metrics(counts, ["shuffled", "repeat"], "score", "y", weight="w")
+    # the curve reads its counts twice; written, each block is shuffled once
+    counted = cut_lineage(counts.groupBy("shuffled", "repeat", "score", "y").agg(F.sum("w").alias("w")))
+    dropped = ranking_metrics(counted, ["shuffled", "repeat"], "score", "y", weight="w")
     whole = dealt.select(F.lit(1).alias("one"), "y", inverse_logit(F.col("raw")).alias("score"))
     baseline = ranking_metrics(whole, ["one"], "score", "y").select("one", F.col("average_precision").alias("baseline"))
     loss = F.col("baseline") - F.col("average_precision")
