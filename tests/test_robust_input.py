@@ -51,3 +51,19 @@ def test_persistent_order_beyond_99_checkpoints(spark):
 def test_turns_move_every_row_of_a_block(n):
     turns = {_turn(42, f, r, b, n) for f in "fg" for r in range(5) for b in (0, 7, 2**40)}
     assert turns == {0} if n == 1 else all(0 < t < n for t in turns)
+
+
+def test_numbers_are_checked_without_a_detour_over_text(spark):
+    """Typed columns give the errors of their text, and no cast to text is planned for them."""
+    typed = {n: "long" if n == "historical_windows_available" else "double" for n in CHANGE_FEATURES}
+    odd = [None, -0.0, -1.5, 7.0, 7.5, 1e300, float("nan"), float("inf"), float("-inf")]
+    rows = [[1 if t == "long" else 1.0 for t in typed.values()]]
+    for i, t in enumerate(typed.values()):
+        for v in [None, -1, 2**53 + 1] if t == "long" else odd:
+            rows.append([*rows[0][:i], v, *rows[0][i + 1 :]])
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in typed.items()))
+    numbers = check_records(frame)
+    text = check_records(frame.select(*[F.col(n).cast("string") for n in CHANGE_FEATURES]))
+    count = lambda df: sorted((str(r.error), r["count"]) for r in df.groupBy("error").count().collect())
+    assert count(numbers) == count(text) and numbers.where("error IS NULL").count() < len(rows)
+    assert "as string" not in numbers._jdf.queryExecution().optimizedPlan().toString()
