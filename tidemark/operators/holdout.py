@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import dense_index
+from tidemark.session import written
 
 
 def holdout_overlap(rows: DataFrame, holdout: str, slice_by: str = "observation_day") -> DataFrame:
@@ -120,6 +121,50 @@ def grouped_folds(rows: DataFrame, label: str, requested: int = 5, seed: int = 4
     raise ValueError("no class-valid entity folds")
 
 
+def strict_training_folds(
+    rows: DataFrame, holdout: str, values: Sequence[str], label: str, requested: int = 5, seed: int = 42
+) -> tuple[DataFrame, list[int]]:
+    """Folds inside the strict training rows of every left-out holdout of ``values`` at once.
+
+    One row per entity: ``folds`` holds its fold for each value, 0 where it is not
+    trained on because a row of it is in that holdout.  Each value has the folds that
+    ``grouped_folds`` gives on the rows of ``leave_one_out``, and the largest
+    class-valid count up to ``requested``; the counts are returned beside.
+    """
+    if requested < 2:
+        raise ValueError("at least two folds are needed")
+    y = F.col(label).cast("int")
+    profile = rows.groupBy("entity").agg(
+        F.max(y).alias("stratum"), F.count(F.lit(1)).alias("n"), F.sum(y.cast("long")).alias("p"), F.collect_set(holdout).alias("own")
+    )
+    known = F.array(*[F.lit(v) for v in values])
+    trains = profile.select("entity", "stratum", "n", "p", F.posexplode(F.transform(known, lambda v: ~F.array_contains("own", v))).alias("set", "trained"))
+    placed = written(
+        dense_index(trains.where("trained").drop("trained"), ["entity"], ["set", "stratum"], seed).select("set", "entity", "n", "p", "idx"),
+        "training-folds",
+    )
+    counts: list[int] = [0] * len(values)
+    for count in range(requested, 1, -1):
+        inside = placed.groupBy("set", (F.col("idx") % count).alias("fold")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        found: dict[int, list] = {}
+        for r in inside.collect():
+            found.setdefault(r["set"], []).append((r.n, r.p))
+        for s in [s for s, done in enumerate(counts) if not done]:
+            parts = found.get(s, [])
+            n, p = sum(a for a, _ in parts), sum(b for _, b in parts)
+            if len(parts) == count and all(0 < b < a and 0 < p - b < n - a for a, b in parts):
+                counts[s] = count
+        if all(counts):
+            break
+    else:
+        raise ValueError("no class-valid entity folds")
+    of = F.array(*[F.lit(c) for c in counts])
+    fold = (F.col("idx") % of[F.col("set")] + 1).cast("int")
+    pairs = placed.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("set", fold.alias("fold")))).alias("m"))
+    dense = F.array(*[F.coalesce(F.col("m")[F.lit(s)], F.lit(0)) for s in range(len(values))])
+    return pairs.select("entity", dense.alias("folds")), counts
+
+
 def pattern_folds(rows: DataFrame, label: str, days: Sequence[int], folds: int, seed: int = 42) -> DataFrame:
     """Shared folds over several days: round-robin within label patterns."""
     pattern = F.concat(

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import decision, fixed_rule
+from tidemark.functions.scalars import decision, fixed_rule, inverse_logit
 from tidemark.operators import calibration as Ca
 from tidemark.operators import explain as Ex
+from tidemark.operators import fits as Fi
 from tidemark.operators import holdout as H
 from tidemark.operators import metrics as X
 from tidemark.operators import models as Mo
@@ -17,7 +18,7 @@ from tidemark.operators import summaries as Su
 from tidemark.operators import thresholds as Th
 from tidemark.operators.trajectories import representative_rows, start_end_patterns
 from tidemark.schema import CHANGE_FEATURES, FEATURE_GROUPS, MODEL_FEATURES, OBSERVATION_KEYS
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, written
 
 LABEL = "actual_label"
 
@@ -231,19 +232,35 @@ def calibration_experiment(
         for r in data.where(F.col("observation_day").isin(list(days))).select("observation_day", "outer_holdout_id").distinct().collect()
     ]
 
-    def run(job) -> tuple[DataFrame, DataFrame]:
-        day, holdout = job
-        train, test = H.leave_one_out(data.where(F.col("observation_day") == day), "outer_holdout_id", holdout)
-        train = cut_lineage(train)
-        assignment, count, _ = H.grouped_folds(train, LABEL, inner_folds, seed)
-        oof, _ = Mo.out_of_fold_scores(train, assignment, count, features, LABEL, "base_model_score", parallel=1)
-        final = Mo.fit_base_model(train, features, LABEL)
-        tested = Mo.apply_base_model(final, test, "base_model_score")
-        keep = [*OBSERVATION_KEYS, LABEL, "base_model_score"]
-        tag = lambda df: df.select(*keep, F.lit(holdout).alias("outer_holdout_id"))
-        return tag(oof), tag(tested)
-
-    done = Mo.each(sorted(jobs), run, parallel)
+    keep = [*OBSERVATION_KEYS, LABEL, "base_model_score"]
+
+    def run(day: int) -> tuple[DataFrame, DataFrame]:
+        # the final and the inner models of all holdouts of a day are fitted together
+        values = sorted(holdout for d, holdout in jobs if d == day)
+        day_rows = data.where(F.col("observation_day") == day)
+        folds, counts = H.strict_training_folds(day_rows, "outer_holdout_id", values, LABEL, inner_folds, seed)
+        assigned = written(day_rows.join(folds, "entity", "left"), "holdout-folds")
+        fold = [F.coalesce(F.col("folds")[s], F.lit(0)) for s in range(len(values))]
+        trains = [(fold[s] > 0) & (fold[s] != j) for s, count in enumerate(counts) for j in range(count + 1)]
+        member = F.array(*[t.cast("tinyint") for t in trains])
+        fits = Fi.fit_models(assigned.withColumn(Fi.MEMBER, member), [list(features)] * len(trains), LABEL)
+        scored = written(fits.logits(assigned, [*OBSERVATION_KEYS, LABEL, "outer_holdout_id", "folds"]), "holdout-logits")
+        final = [sum(counts[:s]) + s + 1 for s in range(len(values))]
+        ids, finals = F.array(*[F.lit(v) for v in values]), F.array(*[F.lit(i) for i in final])
+        score = inverse_logit(F.col("logit")).alias("base_model_score")
+        tested = scored.withColumn(
+            "logit", F.element_at("logits", F.element_at(finals, F.array_position(ids, F.col("outer_holdout_id")).cast("int")))
+        )
+        inner = (
+            scored.drop("outer_holdout_id")
+            .select("*", F.posexplode("folds").alias("s", "fold"))
+            .where("fold > 0")
+            .withColumns({"logit": F.element_at("logits", finals[F.col("s")] + F.col("fold")), "outer_holdout_id": ids[F.col("s")]})
+        )
+        pick = lambda df: df.withColumn("base_model_score", score).select(*keep, "outer_holdout_id")
+        return pick(inner), pick(tested)
+
+    done = Mo.each(sorted({day for day, _ in jobs}), run, parallel)
     holdout_slice = ["observation_day", "outer_holdout_id"]
     scored = [cut_lineage(Mo.union_all(part)) for part in zip(*done)]
     # the mappings of all holdouts at once, from inner scores only
