@@ -62,11 +62,8 @@ def ablation_experiment(
     assignment, count, _ = H.grouped_folds(data, LABEL, folds, seed)
     assignment = cut_lineage(assignment)
 
-    def run(name: str) -> DataFrame:
-        scored, _ = Mo.out_of_fold_scores(data, assignment, count, groups[name], LABEL, "score", parallel=2)
-        return scored.select(*OBSERVATION_KEYS, LABEL, "fold", "score", F.lit(name).alias("model"))
-
-    oof = cut_lineage(Mo.union_all(Mo.each(list(groups), run, 3)))
+    scored = Fi.fold_scores(data, assignment, count, groups, LABEL, [*OBSERVATION_KEYS, LABEL])
+    oof = cut_lineage(scored.select(*OBSERVATION_KEYS, LABEL, "fold", "score", "model"))
     per_fold = X.zero_rates(X.ranking_metrics(oof, ["model", "fold"], "score", LABEL))
     metrics = ["average_precision", "recall", "precision", "f1", "brier_score"]
     names = list(groups)
