@@ -22,10 +22,11 @@ from tidemark.functions.ranking import exact_quantiles
 from tidemark.functions.scalars import clamp01, decision, inverse_logit, logit
 from tidemark.operators import calibration as Ca
 from tidemark.operators.drift import feature_drift, feature_profile, long_features, score_profile
+from tidemark.operators.fits import fold_scores
 from tidemark.operators.holdout import grouped_folds
 from tidemark.operators.thresholds import select_thresholds
 from tidemark.schema import CHANGE_FEATURES, check_feature_names
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, written
 
 MISSING = "missing_indicator__"
 METHODS = ("uncalibrated", "sigmoid", "isotonic")
@@ -233,8 +234,8 @@ def fit_reference(
 ) -> tuple[BaseModel, Calibrator, DataFrame]:
     """Model on all rows, sigmoid of out-of-fold logits, and calibrated OOF rows."""
     assignment, count, _ = grouped_folds(rows, label, folds, seed)
-    oof, _ = out_of_fold_scores(rows, assignment, count, features, label, raw="oof_raw")
-    oof = cut_lineage(oof)
+    scored = fold_scores(rows, assignment, count, {"reference": features}, label, rows.columns)
+    oof = written(scored.drop("model").withColumnsRenamed({"logit": "oof_raw", "score": "oof_score"}), "reference-scores")
     calibrator = fit_calibrator("sigmoid_raw", oof, "oof_raw", label)
     return fit_base_model(rows, features, label), calibrator, calibrator.apply(oof, "oof_raw")
 

@@ -91,7 +91,7 @@ def early_warning_experiment(
         found = H.fold_classes(day_rows, common, LABEL).select("valid").collect()
         valid = len(found) == count and all(r.valid for r in found)
         assignment, k = (common, count) if valid else H.grouped_folds(day_rows, LABEL, folds, seed)[:2]
-        scored, _ = Mo.out_of_fold_scores(day_rows, assignment, k, CHANGE_FEATURES, LABEL, "score", parallel=2)
+        scored = Fi.fold_scores(day_rows, assignment, k, {"change": CHANGE_FEATURES}, LABEL, [*OBSERVATION_KEYS, LABEL])
         return scored.select(*OBSERVATION_KEYS, LABEL, "fold", "score", F.lit(valid).alias("common_folds"))
 
     oof = cut_lineage(Mo.union_all(Mo.each(list(days), run, 2))).withColumn("prediction", decision(F.col("score"), 0.5))
@@ -117,8 +117,8 @@ def common_cohort_experiment(
     assignment = cut_lineage(H.pattern_folds(cohort, LABEL, days, folds, seed))
 
     def run(day: int) -> DataFrame:
-        scored, _ = Mo.out_of_fold_scores(
-            cohort.where(F.col("observation_day") == day), assignment, folds, CHANGE_FEATURES, LABEL, "score", parallel=2
+        scored = Fi.fold_scores(
+            cohort.where(F.col("observation_day") == day), assignment, folds, {"change": CHANGE_FEATURES}, LABEL, [*OBSERVATION_KEYS, LABEL]
         )
         return scored.select(*OBSERVATION_KEYS, LABEL, "fold", "score")
 
