@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import set_quantiles
 from tidemark.operators import fits as Fi
+from tidemark.operators import holdout as H
 from tidemark.operators import models as Mo
 
 
@@ -49,3 +50,15 @@ def test_medians_of_overlapping_sets(spark):
     df = spark.createDataFrame(rows, "v double, m array<tinyint>").withColumn("f", F.lit("x"))
     got = {r.member: r.quantiles[0] for r in set_quantiles(df, ["f"], "v", "m", 3, (0.5,)).collect()}
     assert got == {s: statistics.median([v for v, m in rows if v is not None and m[s]]) for s in range(3)}
+
+
+def test_folds_of_all_holdouts_equal_single_ones(spark):
+    draw = random.Random(9)
+    rows = [(k % 70, draw.choice("abb") if k % 70 < 30 else "abc"[k % 3], int(draw.random() < 0.3)) for k in range(160)]
+    df = spark.createDataFrame(rows, "entity long, h string, y int")
+    folds, counts = H.strict_training_folds(df, "h", ["a", "b", "c"], "y", 4)
+    got = {r.entity: r.folds for r in folds.collect()}
+    for s, value in enumerate("abc"):
+        wanted, count, _ = H.grouped_folds(H.leave_one_out(df, "h", value)[0], "y", 4)
+        assert counts[s] == count
+        assert {e: f[s] for e, f in got.items() if f[s]} == {r.entity: r.fold for r in wanted.collect()}
