@@ -113,3 +113,38 @@ def test_permutation_shuffles_each_block_once(spark):
     out = Ex.permutation_from_parts(df, ["a"], ["k"], "y", 2)
     assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
     assert out.count() == 1
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 20, 40])
+def test_slices_are_shuffled_together(spark, monkeypatch, cell_rows):
+    """All slices take the same two passes, and each has the losses it has alone, in cells of any size."""
+    monkeypatch.setattr(Ex, "_CELL_ROWS", cell_rows)
+    monkeypatch.setattr(Ex, "_CHUNK", 2)
+    draw = random.Random(3)
+    rows = []
+    for k in range(500):
+        fold = (k * k) % 7 % 3  # uneven slices; the labels of the last one are all 0
+        parts = [draw.gauss(0, 2), draw.choice([-0.5, 0.0, 0.5])]
+        rows.append((k, fold, int(fold < 2 and draw.random() < 1 / (1 + np.exp(-parts[0]))), sum(parts), parts))
+    df = spark.createDataFrame(rows, "k long, fold int, y int, raw double, parts array<double>").repartition(3)
+    out = Ex.permutation_from_parts(df, ["a", "b"], ["k"], "y", 3, 42, 64, by=["fold"])
+    got = {(r.fold, r.feature): r for r in out.collect()}
+    assert set(got) == {(f, x) for f in {r[1] for r in rows} for x in "ab"}
+    for fold in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == fold), key=lambda r: (md5(f"42|{r[0]}".encode()).hexdigest()[:3], r[0]))
+        blocks = -(-len(mine) // 64)
+        for f, name in enumerate("ab"):
+            r = got[fold, name]
+            if not any(x[2] for x in mine):
+                assert r.importance_mean is None and r.repeats == 3
+                continue
+            base, losses = average_precision([x[3] for x in mine], [x[2] for x in mine]), []
+            for repeat in range(3):
+                raw, y = [], []
+                for b in range(blocks):
+                    block = mine[b::blocks]
+                    turn = 1 + int(md5(f"42|{name}|{repeat}|{b}".encode()).hexdigest()[:8], 16) % (len(block) - 1)
+                    raw += [x[3] - x[4][f] + block[(j + turn) % len(block)][4][f] for j, x in enumerate(block)]
+                    y += [x[2] for x in block]
+                losses.append(base - average_precision(raw, y))
+            assert r.importance_mean == pytest.approx(np.mean(losses)) and r.importance_standard_deviation == pytest.approx(np.std(losses))

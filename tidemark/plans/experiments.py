@@ -312,24 +312,26 @@ def explainability_experiment(
 ) -> dict[str, DataFrame]:
     """Coefficients, permutation importance and representative explanations."""
     data = _labelled(rows, label, CHANGE_FEATURES)
-    fitted, importances, scored = [], [], []
-    for day in days:
+
+    def run(day: int) -> tuple:
         day_rows = data.where(F.col("observation_day") == day)
         assignment, count, _ = H.grouped_folds(day_rows, LABEL, folds, seed)
         assigned = cut_lineage(day_rows.join(assignment, "entity"))
         oof, models = Mo.out_of_fold_scores(day_rows, assignment, count, CHANGE_FEATURES, LABEL, "model_output")
-        scored.append(oof)
-        for fold, model in enumerate(models, 1):
-            fitted.append(({"observation_day": day, "fold": fold}, model))
-            part = assigned.where(F.col("fold") == fold)
-            # one row per feature; a single plan of all folds would outgrow the driver
-            importances.append(
-                cut_lineage(
-                    Ex.permutation_importance(model, part, OBSERVATION_KEYS, LABEL, repeats, seed).withColumns(
-                        {"observation_day": F.lit(day), "fold": F.lit(fold)}
-                    )
-                )
-            )
+        parts = [
+            Ex.logit_parts(model, assigned.where(F.col("fold") == fold), [*OBSERVATION_KEYS, "fold"], LABEL)
+            for fold, model in enumerate(models, 1)
+        ]
+        return oof, [({"observation_day": day, "fold": fold}, model) for fold, model in enumerate(models, 1)], Mo.union_all(parts)
+
+    done = Mo.each(list(days), run, 2)
+    scored = [oof for oof, _, _ in done]
+    fitted = [pair for _, pairs, _ in done for pair in pairs]
+    # the shuffles of all days and folds take two passes together
+    parts = written(Mo.union_all([p for _, _, p in done]), "logit-parts")
+    importances = cut_lineage(
+        Ex.permutation_from_parts(parts, CHANGE_FEATURES, OBSERVATION_KEYS, LABEL, repeats, seed, by=["observation_day", "fold"])
+    )
     coefficients = Mo.coefficient_rows(fitted)
     summary = Ex.summarize_coefficients(coefficients)
     predictions = cut_lineage(Mo.union_all(scored)).withColumn("prediction", decision(F.col("model_output"), 0.5))
@@ -345,6 +347,6 @@ def explainability_experiment(
         "coefficient_summary": summary,
         "top_coefficients": Ex.top_coefficients(summary),
         "comparison": Ex.compare_rankings(summary, days[0], days[-1]),
-        "importance_summary": Ex.summarize_importance(Mo.union_all(importances)),
+        "importance_summary": Ex.summarize_importance(importances),
         "explanations": Mo.union_all(explained),
     }
