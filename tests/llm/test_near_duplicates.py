@@ -209,3 +209,54 @@ def test_equal_fingerprints_are_compared(spark):
     code, sets = np.zeros(3, np.uint64), [np.arange(a, a + 10, dtype=np.uint64) for a in (0, 1, 100)]
     a, b = simhash._Candidates(18, 14, 2, 0.8)._compared(0, code, code, sets)
     assert list(zip(a.tolist(), b.tolist())) == [(0, 1)]
+
+
+@pytest.mark.parametrize("tile", [1 << 17, 40])
+def test_candidates_equal_all_pairs(monkeypatch, tile):
+    """Tiles over members in order of size give the pairs that a look at every pair gives."""
+    monkeypatch.setattr(simhash, "_TILE", tile)
+    rng = np.random.default_rng(11)
+    n, starts = 400, np.array([0, 1, 3, 200])
+    base = rng.integers(0, 2**64, 8, dtype=np.uint64)
+    flip = lambda: sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 14), replace=False))
+    code, twin = (np.array([int(base[k % 8]) ^ flip() for k in range(n)], np.uint64) for _ in range(2))
+    size, mask = rng.integers(0, 30, n), rng.integers(0, 2, 4)[np.searchsorted(starts, np.arange(n), side="right") - 1] * 5
+    found = simhash._Candidates(18, 14, 2, 0.8)
+    got = {(min(i, j), max(i, j)) for a, b in found.pairs(mask, code, twin, size, starts) for i, j in zip(a.tolist(), b.tolist())}
+    group, want = np.searchsorted(starts, np.arange(n), side="right"), set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            near = bin(int(code[i] ^ code[j])).count("1") <= 18 and bin(int(twin[i] ^ twin[j])).count("1") <= simhash.TWIN_LIMIT
+            if group[i] == group[j] and near and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]):
+                early = any(found.earlier[k][mask[i]] and not int(code[i] ^ code[j]) & int(p) for k, p in enumerate(found.parts))
+                if not early:
+                    want.add((i, j))
+    assert got == want and len(want) > 100
+
+
+def test_parities_part_unlike_sets_only():
+    """Rows that only chance brought near leave before their sets are read, and no similar pair does."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for k in range(60):
+        own = rng.integers(0, 2**64, int(rng.integers(2, 900)), dtype=np.uint64)
+        sets.append(np.unique(own))
+        # the most that may differ at a similarity of 0.8: a fifth of the larger set is missing
+        sets.append(np.unique(own[: -(-4 * len(own) // 5)]))
+    size = np.array([len(s) for s in sets], np.int64)
+    parity = np.array([simhash._parities(s) for s in sets]).T
+    n = len(sets)
+    same = np.zeros(n, np.int64)
+    table = np.stack([same, same, same, same, np.arange(n), same, size, *parity])
+    found = simhash._Candidates(18, 14, 2, 0.8)
+    import pyarrow as pa
+
+    def kept(rows):
+        part = pa.record_batch([pa.array(c) for c in table[:, rows]], [f"c{k}" for k in range(len(table))])
+        return {v for b in found.likely_members()(iter([part])) for v in b.column(4).to_pylist()}
+
+    for k in range(0, n, 2):
+        both = len(np.intersect1d(sets[k], sets[k + 1]))
+        assert kept([k, k + 1]) == ({k, k + 1} if both / (size[k] + size[k + 1] - both) >= 0.8 else set())
+    unlike = [(i, j) for i in range(0, n, 2) for j in range(i + 2, n, 2) if min(size[i], size[j]) >= 0.8 * max(size[i], size[j])]
+    assert len(unlike) > 50 and not any(kept([i, j]) for i, j in unlike if size[i] > 20)

@@ -14,6 +14,7 @@ A task passes on a spanning forest, never all pairs of a group.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -231,6 +232,9 @@ def near_duplicate_groups(
 
 
 _GATHER = 1 << 22  # shingles compared at once: bounds a task's memory
+_TILE = 1 << 17  # pairs of fingerprints compared at once
+_PARITIES = 16  # words of 64 parities each
+_MEMBER = ["mask", "pattern", "pair", "fingerprint", "node", "twin", "size"]
 
 
 def _shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -238,6 +242,12 @@ def _shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of 1,024 shares of the hashes holds an odd number of them, as signed longs."""
+    counts = np.bincount((hashes % np.uint64(64 * _PARITIES)).astype(np.int64), minlength=64 * _PARITIES)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 TWIN_LIMIT = 24  # 0.8 similar sets differ in about 10 of 64 bits, unlike ones in 32; both with a spread of 3 to 4
 
 
@@ -262,12 +272,50 @@ class _Candidates:
         self.earlier = np.array([[k not in c and k < max(c) for c in chosen] for k in range(blocks)])
         self.limit, self.least = limit, least
 
+    def _near(self, code: np.ndarray, twin: np.ndarray, size: np.ndarray, starts: np.ndarray):
+        """Pairs of a group whose sizes, fingerprints and second fingerprints are near, tile by tile.
+
+        Members are ordered by size, so a member meets only those whose size allows
+        ``least`` similarity.
+        """
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(code)]):
+            if end - begin < 2:
+                continue
+            order = begin + np.argsort(size[begin:end], kind="stable")
+            own, other, length = code[order], twin[order], size[order]
+            upto = np.searchsorted(self.least * length, length, side="right")
+            i = 0
+            while i < len(order) - 1:
+                # a tile about as high as wide holds few pairs that sizes rule out
+                width = int(upto[i]) - i
+                rows = max(1, min(len(order) - i, _TILE // width, max(128, width)))
+                width = int(upto[i + rows - 1]) - i
+                while rows > 1 and rows * width > 2 * _TILE:
+                    rows //= 2
+                    width = int(upto[i + rows - 1]) - i
+                near = np.bitwise_count(own[i : i + rows, None] ^ own[None, i : i + width]) <= self.limit
+                left, right = np.divmod(np.flatnonzero(near), width)
+                left, right = left + i, right + i
+                fits = (left < right) & (right < upto[left])
+                left, right = left[fits], right[fits]
+                fits = np.bitwise_count(other[left] ^ other[right]) <= TWIN_LIMIT
+                if fits.any():
+                    yield order[left[fits]], order[right[fits]]
+                i += rows
+
     def pairs(self, mask: np.ndarray, code: np.ndarray, twin: np.ndarray, size: np.ndarray, starts: np.ndarray):
-        for i, j, _ in GrayIndex(code, starts).links(self.limit, exact=True):
-            fits = np.bitwise_count(twin[i] ^ twin[j]) <= TWIN_LIMIT
-            i, j = i[fits], j[fits]
-            fits = np.minimum(size[i], size[j]) >= self.least * np.maximum(size[i], size[j])
-            i, j = i[fits], j[fits]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for found in itertools.chain(self._near(code, twin, size, starts), [None]):
+            if found is not None:
+                held.append(found)
+                rows += len(found[0])
+                if rows < _TILE:
+                    continue
+            if not rows:
+                continue
+            i, j = (np.concatenate(side) for side in zip(*held))
+            held, rows = [], 0
             differ = code[i] ^ code[j]
             taken = np.zeros(len(i), bool)
             for part, earlier in zip(self.parts, self.earlier):
@@ -283,9 +331,30 @@ class _Candidates:
             code, twin = table[3].view(np.uint64), table[5].view(np.uint64)
             for i, j in self.pairs(table[0], code, twin, table[6], _group_starts(table[:3])):
                 some[i] = some[j] = True
+            return table[:7, some]
+
+        return _by_group(work, _MEMBER)
+
+    def likely_members(self):
+        """Of these, the rows of pairs whose sets may be similar, by their parities.
+
+        Each element that only one of two sets has turns one parity, so sets differ
+        in at least as many elements as their parities do.  No similar pair is lost.
+        """
+
+        def work(table: np.ndarray):
+            some = np.zeros(table.shape[1], bool)
+            code, twin, size = table[3].view(np.uint64), table[5].view(np.uint64), table[6]
+            parity = np.ascontiguousarray(table[7:].T).view(np.uint64)
+            for pairs in self.pairs(table[0], code, twin, size, _group_starts(table[:3])):
+                for i, j in zip(*(np.array_split(side, 1 + len(side) // _TILE) for side in pairs)):
+                    apart = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64)
+                    # similarity s leaves (1 - s) / (1 + s) of both sizes together
+                    likely = apart * (1 + self.least) <= (size[i] + size[j]) * (1 - self.least) + 0.001
+                    some[i[likely]] = some[j[likely]] = True
             return table[:6, some]
 
-        return _by_group(work, ["mask", "pattern", "pair", "fingerprint", "node", "twin"])
+        return _by_group(work, _MEMBER[:6])
 
     def similar(self):
         """Links (a, b) that span what is similar in each group, set against set."""
@@ -356,7 +425,7 @@ def similar_groups(
     max_distance: int = 18,
     exact_blocks: int = 2,
     blocks: int = 14,
-    chunk_rows: int = 4096,
+    chunk_rows: int = 16384,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of texts whose shingle sets are similar.
 
@@ -366,13 +435,15 @@ def similar_groups(
     bits, and of those up to ``max_distance`` bits the ones that agree in
     ``exact_blocks`` of the ``blocks``.  Sets of Jaccard similarity 0.8 differ in
     about 10 bits, with a spread of 3.  The rows that have a candidate are dealt
-    again with their sets of shingle hashes, each candidate is compared by the
+    again with 1,024 parities of their sets, which tell most unlike ones for sure,
+    and the rest with their sets of shingle hashes; each candidate is compared by the
     Jaccard similarity of the full sets and links from ``min_similarity`` on;
     only then links are reduced to those that span.  Nulls are treated as in
     ``near_duplicate_groups``.
     """
 
-    names = ["doc_id", "fingerprint", "twin", "size", "whole"]
+    parities = [f"parity{k}" for k in range(_PARITIES)]
+    names = ["doc_id", "fingerprint", "twin", "size", "whole", *parities]
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,27 +451,33 @@ def similar_groups(
             for text in batch.column(1).to_pylist():
                 own = _shingle_set(text, words)
                 whole = np.array([xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)[0]
-                out.append((fingerprint(own), _twin(own), len(own), whole))
-            columns = np.array(out, np.int64).reshape(-1, 4).T
+                out.append((fingerprint(own), _twin(own), len(own), whole, *_parities(own).tolist()))
+            columns = np.array(out, np.int64).reshape(-1, len(names) - 1).T
             yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     prints = written(
-        docs.select(id_col, text_col).mapInArrow(lean(sized), f"doc_id {kind}, fingerprint long, twin long, size long, whole long"),
+        docs.select(id_col, text_col).mapInArrow(lean(sized), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:])),
         "fingerprints",
     )
     nodes = written(
         prints.where(F.col("doc_id").isNotNull())
-        .groupBy("fingerprint", "twin", "size", "whole")
+        .groupBy("fingerprint", "twin", "size", "whole", *parities)
         .agg(F.min("doc_id").cast("long").alias("node")),
         "distinct-sets",
     )
     # a node is a shingle set; sets that share a fingerprint are candidates like others
     candidates = _Candidates(max_distance, blocks, exact_blocks, min_similarity)
-    dealt = written(
-        _deal(nodes.drop("whole"), blocks, exact_blocks, chunk_rows).mapInArrow(
-            lean(candidates.members()), "mask long, pattern long, pair long, fingerprint long, node long, twin long"
+    near = written(
+        _deal(nodes.drop("whole", *parities), blocks, exact_blocks, chunk_rows).mapInArrow(
+            lean(candidates.members()), ", ".join(f"{c} long" for c in _MEMBER)
         ),
+        "near-candidates",
+    )
+    # most rows that chance has brought near leave before they meet their sets
+    known = near.join(nodes.select("node", *parities), "node").select(*_MEMBER, *parities)
+    dealt = written(
+        _sorted_groups(known).mapInArrow(lean(candidates.likely_members()), ", ".join(f"{c} long" for c in _MEMBER[:6])),
         "candidates",
     )
 
@@ -419,7 +496,7 @@ def similar_groups(
     similar = _sorted_groups(
         dealt.join(sets, "node").select("mask", "pattern", "pair", "fingerprint", "node", "twin", "shingles")
     ).mapInArrow(lean(candidates.similar()), "a long, b long")
-    return _with_groups(prints, nodes, connected_components(similar), names[1:])
+    return _with_groups(prints, nodes, connected_components(similar), names[1:5])
 
 
 def _with_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame, key=("fingerprint",)) -> DataFrame:
